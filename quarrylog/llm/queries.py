@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, urls
+from . import ngram, quality, urls
 from .common import table
 
 Q, SQL = {}, {}
@@ -43,6 +43,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model)
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries():
     return dict(Q)
 
