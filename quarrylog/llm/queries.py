@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram, quality, urls
+from . import mixing, ngram, quality, urls
 from .common import table
 
 Q, SQL = {}, {}
@@ -36,6 +36,11 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN {blocked} THEN 'bloc
 SQL["op5_url_filters"] = _op5_sql()
 
 
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
