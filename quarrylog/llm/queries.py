@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram, packing, quality, urls
+from . import mixing, ngram, packing, pii, quality, urls
 from .common import table
 
 Q, SQL = {}, {}
@@ -41,6 +41,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
