@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram, packing, pii, quality, urls
+from . import mixing, neardup, ngram, packing, pii, quality, urls
 from .common import table
 
 Q, SQL = {}, {}
@@ -69,6 +69,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries():
     return dict(Q)
 
