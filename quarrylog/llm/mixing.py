@@ -152,16 +152,29 @@ def seeded_hash(seed: int):
     return F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(F.col("text")))
 
 
-def mix_by_source(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1, payload: bool = False) -> DataFrame:
-    """Mix documents by their source column: doc_id, size, source_size, target and taken; with payload, doc_id, taken and the hash of the text."""
-    ws = Workspace(docs.sparkSession, "mixing")
-    sized = ws.cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), seeded_hash(seed).alias("_h"), F.xxhash64("text").alias("_t")), "sized")
+def mixed_by_source(sized: DataFrame, weights: Sequence[float], share: float, most: int, seed: int) -> tuple[DataFrame, list[tuple]]:
+    """sized (with source, size and _h) with taken, and (source, size, target) of each source by code point, null last."""
     total = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     names = sorted(total, key=lambda x: (x is None, x or ""))
     targets = shared_targets([total[x] for x in names], [weights[i % len(weights)] for i in range(len(names))], share * sum(total.values()), most)
-    info = docs.sparkSession.createDataFrame([(x, total[x], t) for x, t in zip(names, targets, strict=True)], "source string, source_size long, target double")
     mixed = mix(sized.withColumn("sources", F.array("source")), {x: round(t) for x, t in zip(names, targets, strict=True)}, most, seed)
-    if payload:
-        return mixed.select("doc_id", "size", "taken", "_t")
-    info = info.withColumnRenamed("source", "_s")
-    return mixed.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed, [(x, total[x], t) for x, t in zip(names, targets, strict=True)]
+
+
+def mix_by_source(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1) -> DataFrame:
+    """Mix documents by their source column: doc_id, size, source_size, target and taken."""
+    ws = Workspace(docs.sparkSession, "mixing")
+    sized = ws.cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), seeded_hash(seed).alias("_h")), "sized")
+    mixed, info = mixed_by_source(sized, weights, share, most, seed)
+    info_df = docs.sparkSession.createDataFrame(info, "_s string, source_size long, target double")
+    return mixed.join(F.broadcast(info_df), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def resampled(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken. docs is read four times; pass a table."""
+    names = docs.columns
+    own = [f"_x{i}" for i in range(len(names))]
+    sized = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(names, own, strict=True)), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), seeded_hash(seed).alias("_h"))
+    mixed, _ = mixed_by_source(sized, weights, share, most, seed)
+    times = F.expr("explode(sequence(1, cast(taken div size as int)))")
+    return mixed.where("taken > 0").select(*own, times.alias("_i")).select(*own).toDF(*names)

@@ -99,15 +99,15 @@ def binary_rows(a: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, c (hash of the set) and sig of every document."""
+    """doc_id, t (hash of the text), n, c (hash of the set) and sig of every document."""
 
     def run(batches):
         for rb in batches:
-            for b in blocks(rb.column(1), lower=True):
+            for b in blocks(rb.column(2), lower=True):
                 s, first = shingle_sets(b)
-                yield pa.RecordBatch.from_arrays([rb.column(0)[b.rows], pa.array(np.diff(first)), pa.array(set_hashes(s, first).view(np.int64)), binary_rows(signatures(s, first))], ["doc_id", "n", "c", "sig"])
+                yield pa.RecordBatch.from_arrays([rb.column(0)[b.rows], rb.column(1)[b.rows], pa.array(np.diff(first)), pa.array(set_hashes(s, first).view(np.int64)), binary_rows(signatures(s, first))], ["doc_id", "t", "n", "c", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, c long, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, t long, n long, c long, sig binary")
 
 
 def _items(sig: np.ndarray) -> np.ndarray:
@@ -285,6 +285,23 @@ def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
 
 def near_duplicates(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    return grouped(docs, ws).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without near-duplicates: of each component the row of the smallest doc_id (then text hash), with all columns."""
+    ws = Workspace(docs.sparkSession, "neardup")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # rows of one doc_id and different texts can be in one component: the smallest hash stays
+    kept = grouped(docs, ws).where("kept").groupBy("label", key("doc_id").alias("_k")).agg(F.min("t").alias("_t")).select("_k", "_t")
+    names = docs.columns
+    own = [f"_x{i}" for i in range(len(names))]
+    src = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(names, own, strict=True)), key("doc_id").alias("_k"), F.xxhash64("text").alias("_t"))
+    return src.join(kept, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"]).select(*own).toDF(*names)
+
+
+def grouped(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """doc_id, t, label (of the component; of an empty text, its hash), n_shingles, component_id and kept of every document."""
     ws = ws or Workspace(docs.sparkSession, "neardup")
     docs = docs.select("doc_id", "text")
     signed = ws.cut(sketches(docs), "signed")
@@ -300,8 +317,9 @@ def near_duplicates(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
         links = links.union(confirmed(more, classes, docs, ws, "more"))
         labels = ws.cut(components(links, ws, "second"), "labels2")
     least = labels.join(classes.select("c", "rep"), "c").groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = labels.join(least, "label").select("c", "component_id")
-    of = classes.select("c", "rep").join(of, "c", "left").select("c", F.when(F.col("component_id").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "c").join(of, "c", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of = labels.join(least, "label").select("c", "label", F.col("component_id").alias("least"))
+    of = classes.select("c", "rep").join(of, "c", "left").select("c", F.coalesce("label", "c").alias("label"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
+    out = signed.select("doc_id", "t", F.col("n").alias("n_shingles"), "c").join(of, "c", "left")
+    none = F.col("n_shingles") == 0
+    out = out.withColumns({"component_id": F.when(none, F.col("doc_id")).otherwise(F.col("component_id")), "label": F.when(none, F.col("t")).otherwise(F.col("label"))})
+    return out.select("doc_id", "t", "label", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

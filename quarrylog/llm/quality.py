@@ -225,3 +225,21 @@ def judge(docs: DataFrame, model: Trees | None, reject_at: float = REJECT_AT, ca
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(bad), pa.array(~failed & (bad < reject_at))], [*carry, *BASE, "base_failed", "badness", "kept"])
 
     return src.mapInArrow(run, f"{kinds}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, badness double, kept boolean")
+
+
+def keep(docs: DataFrame, model: Trees | None, reject_at: float = REJECT_AT) -> DataFrame:
+    """The documents that pass, with all their columns."""
+    names = docs.columns
+    src = docs.toDF(*(f"_x{i}" for i in range(len(names))))
+    text = names.index("text")
+
+    def run(batches):
+        for rb in batches:
+            ok = []
+            for b in blocks(rb.column(text)):
+                base, x = statistics(b)
+                bad = model.probability(x) if model is not None else np.zeros(len(x))
+                ok.append((base[:, 0] >= MIN_WORDS) & (100 * base[:, 4] <= MAX_REPEAT_PERCENT * base[:, 0]) & (bad < reject_at))
+            yield rb.filter(pa.array(np.concatenate(ok))) if ok else rb
+
+    return src.mapInArrow(run, src.schema).toDF(*names)
