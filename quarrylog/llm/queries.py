@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, neardup, ngram, packing, pii, quality, urls
+from . import hnsw, mixing, neardup, ngram, packing, pii, quality, urls
 from .common import table
 
 Q, SQL = {}, {}
@@ -15,6 +16,11 @@ def query(f):
     return f
 
 
+@query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("pattern")
