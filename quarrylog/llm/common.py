@@ -153,10 +153,10 @@ class Block:
     def __init__(self, buf: np.ndarray, offs: np.ndarray, rows: slice):
         self.buf, self.offs, self.rows, self.n = buf, offs, rows, len(offs) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """starts, ends and the index of each document's first word (n + 1 long)."""
+    def words(self, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """starts, ends and the index of each document's first word (n + 1 long); outside: the bytes that are in no word."""
         n = len(self.buf)
-        full = ~SPACE[self.buf]
+        full = ~outside[self.buf]
         edge = np.zeros(n + 1, bool)
         edge[self.offs] = True
         before, after = np.empty(n, bool), np.empty(n, bool)
