@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, mixing, neardup, ngram, packing, pii, quality, toxicity, urls
+from . import hnsw, mixing, neardup, ngram, packing, pii, quality, substrings, toxicity, urls
 from .common import table
 
 Q, SQL = {}, {}
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 @query
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
