@@ -153,8 +153,10 @@ class Block:
     def __init__(self, buf: np.ndarray, offs: np.ndarray, rows: slice):
         self.buf, self.offs, self.rows, self.n = buf, offs, rows, len(offs) - 1
 
-    def words(self, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """starts, ends and the index of each document's first word (n + 1 long); outside: the bytes that are in no word."""
+    def words(self, outside: np.ndarray = SPACE, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """starts, ends and the index of each document's first word (n + 1 long).
+
+        outside: the bytes that are in no word; breaks: flags of bytes (not the first) that begin a word in any case."""
         n = len(self.buf)
         full = ~outside[self.buf]
         edge = np.zeros(n + 1, bool)
@@ -162,6 +164,9 @@ class Block:
         before, after = np.empty(n, bool), np.empty(n, bool)
         before[:1], after[-1:] = True, True
         before[1:], after[:-1] = ~full[:-1], ~full[1:]
+        if breaks is not None:
+            before[1:] |= breaks[1:]
+            after[:-1] |= breaks[1:]
         starts = np.flatnonzero(full & (before | edge[:-1]))
         ends = np.flatnonzero(full & (after | edge[1:])) + 1
         return starts, ends, np.searchsorted(starts, self.offs)

@@ -1,6 +1,6 @@
 """Best-fit packing by bin completion.
 
-Documents are tokenised (each whitespace-free chunk once per worker, as the tokenizer never joins chunks), cut where longer
+Documents are tokenised (each distinct chunk once per worker, cut where the tokenizer never joins), cut where longer
 than a sequence, and packed by their lengths alone: pieces of one length are interchangeable, so the packing is solved on
 the histogram of lengths, which has at most `size` entries however large the corpus is. Around the largest remaining
 length the undominated fillings of the rest are enumerated depth first, pruned by the waste that any filling must
@@ -14,7 +14,9 @@ length in an order fixed by doc_id, piece and content; an empty table gives an e
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +29,23 @@ SIZE, END_ID = 4096, 1
 #: Fillings tried around one largest length before the best so far is taken.
 NODES = 400
 #: Chunks whose ids a worker keeps.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 800_000
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_PUNCT = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
+_OPENS = _PUNCT & (np.arange(256) != ord("'"))
 #: Hash buckets in which the pieces of one length are ranked.
 BUCKETS = 256
 
 
 class ChunkTokenizer:
-    """Ids of whole documents through a table of distinct chunks (runs without white space)."""
+    """Ids of whole documents through a table of distinct chunks.
+
+    The tokenizer lower-cases and splits at white space and between letters or digits and other signs, before its merges; so a
+    text may be cut at white space, from an ASCII letter or digit to an ASCII sign, and back unless that sign is an apostrophe
+    (which may open a contraction). Blocks are lower-cased."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core and one memory arena a worker
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -48,9 +58,9 @@ class ChunkTokenizer:
         self.at, self.count, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        found = [e.ids for i in range(0, len(chunks), 4096) for e in self.tok.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -62,8 +72,11 @@ class ChunkTokenizer:
 
     def encode(self, block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, each document ended by END_ID, and where each document starts (n + 1 long)."""
-        starts, ends, first = block.words()
-        h = span_hashes(prefix_sums(block.buf), starts, ends)
+        b = block.buf
+        breaks = np.zeros(len(b), bool)
+        breaks[1:] = (_ALNUM[b[:-1]] & _PUNCT[b[1:]]) | (_OPENS[b[:-1]] & _ALNUM[b[1:]])
+        starts, ends, first = block.words(breaks=breaks)
+        h = span_hashes(prefix_sums(b), starts, ends)
         u, where, inv = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) > CACHE_CHUNKS:
             self.clear()
@@ -96,7 +109,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False)
     def run(batches):
         tok = _tokenizers.get(path) or _tokenizers.setdefault(path, ChunkTokenizer(path))
         for rb in batches:
-            for b in blocks(rb.column(1)):
+            for b in blocks(rb.column(1), lower=True):
                 ids, at = tok.encode(b)
                 n = np.diff(at)
                 cuts = -(-n // size)
