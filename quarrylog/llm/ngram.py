@@ -204,6 +204,8 @@ class Model:
 
     def log10(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 P of each token given the token before it in its document."""
+        if not self.tokens:
+            return np.zeros(len(ids))
         prev = np.empty(len(ids), np.int64)
         prev[1:] = ids[:-1]
         prev[first[:-1]] = self.words  # the start of a document
