@@ -114,3 +114,32 @@ def avoided_share(read: float, stored: float) -> str | None:
 def last_ns_of_micros(ns_micros: int) -> int:
     """The last nanosecond of a microsecond."""
     return ns_micros * 1000 + 999
+
+
+def to_url(query: dict) -> str:
+    """A search as the query string of a link; defaults are left out."""
+    from urllib.parse import urlencode
+
+    return urlencode({k: v for k, v in query.items() if v not in ("", None, False, 0)})
+
+
+def from_url(link: str) -> dict[str, str]:
+    from urllib.parse import parse_qsl
+
+    return dict(parse_qsl(link.lstrip("?")))
+
+
+def event_text(e: dict) -> str:
+    """One thing that happened, in words."""
+    n = e.get("lines") or 0
+    if e["kind"] == "Sealed":
+        return f"sealed {n} lines, {human_bytes(e.get('bytes') or 0)}"
+    return f"merged into a segment of {n} lines" if e["kind"] == "Merged" else "removed files that nothing needs"
+
+
+def nice_ceiling(n: float) -> float:
+    """The least 1, 2 or 5 times a power of ten that n doesn't exceed."""
+    if n <= 1:
+        return 1
+    p = 10 ** math.floor(math.log10(n))
+    return next(m * p for m in (1, 2, 5, 10) if m * p >= n)

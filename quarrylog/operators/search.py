@@ -47,6 +47,18 @@ class Result:
         by = Counter(o.outcome for o in self.outcomes)
         return {"segments_considered": len(self.outcomes), TIME: by[TIME], BLOOM: by[BLOOM], SCANNED: by[SCANNED], "bytes_read": sum(o.bytes_read for o in self.outcomes), "retries": self.retries}
 
+    def as_json(self) -> dict:
+        """What a reply holds: hits, flags, metrics, histogram and the listed outcomes."""
+        h = self.histogram
+        return {
+            "hits": self.hits, "truncated": self.truncated, "metrics": self.metrics,
+            "histogram": None if h is None else {"start": h.start, "width": h.width, "counts": h.counts, "total": h.total},
+            "outcomes": [{"segment": o.segment.id, "outcome": o.outcome, "hits": o.hits, "bytes_read": o.bytes_read} for o in self.listed()],
+        }
+
+    def of_segment(self, segment_id: str) -> list[dict]:
+        return [h for h in self.hits if h["segment_id"] == segment_id]
+
     def listed(self) -> list[Outcome]:
         """Outcomes for a reply: scanned ones go first where there are too many, then in order."""
         if len(self.outcomes) <= MAX_OUTCOMES:

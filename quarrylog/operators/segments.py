@@ -68,3 +68,9 @@ def verify(spark: SparkSession, files: Files, s: Segment) -> None:
 def inverted_index(lines: DataFrame) -> DataFrame:
     """(term, segment_id, line_no) of lines with terms: the postings, each once."""
     return lines.select(F.explode(F.array_distinct("terms")).alias("term"), "segment_id", "line_no")
+
+
+def entry(spark: SparkSession, files: Files, s: Segment, line_no: int) -> dict | None:
+    """One line by its number; sorted files let statistics skip the rest."""
+    r = read(spark, files, [s.storage_key]).where(F.col("line_no") == line_no).select("ts_ns", "message", "tags").first()
+    return None if r is None else {"ts_ns": r.ts_ns, "message": r.message, "tags": dict(r.tags or {})}

@@ -99,3 +99,19 @@ def suggestions(catalogue: DataFrame, prefix: str, most: int = 8) -> DataFrame:
     """Values of the catalogue that complete a bare word, in order of key and value."""
     low = prefix.lower()
     return catalogue.where(F.lower("value").startswith(low)).select(F.concat("key", F.lit("="), "value").alias("suggestion")).distinct().orderBy("suggestion").limit(most)
+
+
+def occurrence_keys(lines: DataFrame, key: str, order: str) -> DataFrame:
+    """Tell equal lines apart: occurrence is 0, 1, ... in the given order."""
+    return lines.withColumn("occurrence", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+
+
+def loss_by_window(sent: DataFrame, found: DataFrame, truncated: DataFrame) -> DataFrame:
+    """bucket, expected, found, state. sent: source, seq, bucket; found: source and seq, repeats and all; truncated: bucket.
+
+    A window whose search was cut short is unverifiable, never lost; a complete one is lost if a line is missing."""
+    there = found.select("source", "seq").distinct().withColumn("there", F.lit(1))
+    n = sent.join(there, ["source", "seq"], "left").groupBy("bucket").agg(F.count("*").alias("expected"), F.count("there").alias("found"))
+    cut = truncated.select("bucket").distinct().withColumn("cut", F.lit(True))
+    state = F.when(F.col("found") == F.col("expected"), "verified").when(F.coalesce("cut", F.lit(False)), "unverifiable").otherwise("lost")
+    return n.join(cut, "bucket", "left").select("bucket", "expected", "found", state.alias("state"))

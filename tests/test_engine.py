@@ -153,3 +153,28 @@ def test_sources(spark, tmp_path):
     assert [r.message for r in logs.plain_text(spark, str(tmp_path / "a.txt")).collect()] == ["one", "two"]
     sizes = frame(spark, [(1, "é", {"a": "bc"}), (1, "", {})]).select(logs.entry_size(F.col("message"), F.col("tags")).alias("n")).collect()
     assert [r.n for r in sizes] == [13, 8]
+
+
+def test_cases_windows_and_points(spark, tmp_path):
+    from quarrylog.operators import benchmark, stats
+    from quarrylog.sources import logs
+
+    e = store(spark, tmp_path)
+    lines = logs.generated(spark, 400, "run0000cafe", parts=2)
+    e.ingest(lines)
+    assert lines.orderBy("arrival_seq").first() == logs.generated(spark, 400, "run0000cafe", parts=3).orderBy("arrival_seq").first()
+    own = benchmark.cases(e, ("level", "INFO"), ("level", "FATAL"))
+    assert len(own) == 7
+    got = {c.name: benchmark.run(e, benchmark.Case(c.name, c.text, c.tags, c.window, 1), 0) for c in (own[0], own[5], own[6])}
+    assert got["word not in the data"]["hits"] == 0 and got["rare word, all history"]["hits"] > 0
+    assert benchmark.sampled_lines_found(e, lines, 3) == (3, 3) and benchmark.settle(e) == 0
+    assert [benchmark.nearest_rank(list(range(1, 101)), p) for p in (50, 99, 100, 1)] == [50, 99, 100, 1] and benchmark.nearest_rank([], 50) == 0
+    s = e.manifest.snapshot().ordered()[0]
+    assert seg.entry(spark, e.manifest.files, s, 0)["ts_ns"] == s.min_ts and seg.entry(spark, e.manifest.files, s, 400) is None
+    reply = e.search("nosuchword").as_json()
+    assert reply["hits"] == [] and reply["outcomes"][0]["outcome"] == "skipped_by_bloom"
+    sent = spark.createDataFrame([(0, i, 100 + i // 5) for i in range(15)], "source int, seq int, bucket int")
+    found = sent.where("seq NOT IN (2, 3, 7)").select("source", "seq")
+    cut = spark.createDataFrame([(101,)], "bucket int")
+    assert [tuple(r) for r in stats.loss_by_window(sent, found.union(found), cut).orderBy("bucket").collect()] == [(100, 5, 3, "lost"), (101, 5, 4, "unverifiable"), (102, 5, 5, "verified")]
+    assert [tuple(r) for r in stats.lost_ranges(sent, found).orderBy("first_seq").collect()] == [(0, 2, 3, 2), (0, 7, 7, 1)]
