@@ -5,11 +5,12 @@
 2. A class is posted under (coordinate, value) pairs. Two classes that agree on MATCHES coordinates or more must share one
    of the first COORDS - MATCHES + 1 pairs of any common order (prefix), so only those are posted, rarest first; the order
    comes from a sketch of fixed size, and any order is right. Pairs posted by one class alone are skipped at once.
-3. Merging skips what is settled: first each posting list is held against its smallest class only, and the links found are
-   joined into components. Only lists that still hold several components are merged fully, in blocks, and there the members
-   of the largest component are held against the others but not among each other.
-4. A pair is retained if it collides on MATCHES coordinates or more (for Jaccard 0.85, P(fewer) < 1e-7); retained pairs are
-   confirmed on the full shingle sets, which are fetched for these classes alone.
+3. Merging skips what is settled: first each posting list is held against its most central class only (the one in the
+   fullest lists), and the links found are joined into components. Only lists that still hold several components are merged
+   fully, in blocks, and there the members of the largest component are held against the others but not among each other.
+4. A pair is retained if it collides on MATCHES coordinates or more (for Jaccard 0.85, P(fewer) < 1e-7), in the first list
+   that both are in; retained pairs are confirmed on the full shingle sets, which are fetched for these classes alone. What
+   leaves a block is never its pairs but which members have any, and then edges that span its components.
 
 No step emits all pairs of a group, caps a list or gathers links on the driver; the two fixed-size sketches do reach it.
 
@@ -30,8 +31,8 @@ from .common import U64, Workspace, blocks, doc_of, mix, multi_arange, prefix_su
 COORDS, MATCHES = 64, 36
 SHINGLE, PERCENT = 5, 85
 SKETCH_BITS, BITMAP_BITS = 18, 23
-#: Rows of a posting list that are held against others at once.
-LIST_BLOCK = 512
+#: Rows of a posting list that are held against others at once, and how many others.
+LIST_BLOCK, GUEST_BLOCK = 512, 1024
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -176,14 +177,14 @@ def low_bytes(classes: DataFrame) -> DataFrame:
     return classes.select("c", "n", "sig").mapInArrow(run, "c long, n long, low binary")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """Of pairs (a, b), those linked by their full shingle sets. pairs: a table (read three times)."""
-    need = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "rep"), "c")
+def full_sets(c: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(c, s): the shingle sets of the classes in c, read again from one document of each."""
+    need = c.distinct().join(classes.select("c", "rep"), "c")
     bit = F.pmod(F.xxhash64("rep"), F.lit(1 << BITMAP_BITS)).cast("int")
     words = need.select(bit.alias("h")).groupBy(F.shiftright("h", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, h & 31))").alias("bits")).toArrow()
     bitmap = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
     bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
-    shared = pairs.sparkSession.sparkContext.broadcast(bitmap)  # 2^BITMAP_BITS bits, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^BITMAP_BITS bits, whatever the input
 
     def run(batches):
         bits = shared.value
@@ -198,7 +199,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspa
 
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).cast("int")
     sets = docs.select(h.alias("h"), "text").mapInArrow(run, "c long, s array<long>").join(need.select("c"), "c", "left_semi")
-    sets = ws.cut(sets.groupBy("c").agg(F.first("s").alias("s")), f"{name}-sets")
+    return ws.cut(sets.groupBy("c").agg(F.first("s").alias("s")), name)
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """Of pairs (a, b), those linked by their full shingle sets. pairs: a table (read twice)."""
+    sets = full_sets(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))), classes, docs, ws, f"{name}-sets")
     full = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     return full.where(100 * inter >= PERCENT * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
@@ -224,63 +230,122 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct())
 
 
-def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a posting list and agree on MATCHES coordinates or more."""
+def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """What is left to confirm: members (item, i, j, c, label, home, guest) of lists with several components that have a
+    retained pair there: a home row against a guest row of its block (i, j), of another component."""
     rows = posted.select("item", "c").join(labels, "c", "left").select("item", "c", F.coalesce("label", "c").alias("label"))
     by = rows.groupBy("item", "label").agg(F.count("*").alias("n"))
-    lists = by.groupBy("item").agg(F.count("*").alias("labels"), F.sum("n").alias("rows"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1").select("item", "rows", "main")
-    low = low_bytes(classes)
-    full = rows.join(lists, "item").join(low, "c")
-    blocks_ = F.ceil(F.col("rows") / LIST_BLOCK).cast("int")
-    home = F.pmod(F.xxhash64("c"), blocks_).cast("int")
-    own = full.select("item", home.alias("block"), F.lit(True).alias("home"), "c", "label", "n", "low", (F.col("label") != F.col("main")).alias("minor"))
-    # a member of a lesser component visits all blocks; one of the main component stays in its own
-    guests = full.where("label <> main and rows > %d" % LIST_BLOCK).select("item", F.explode(F.sequence(F.lit(0), blocks_ - 1)).alias("block"), F.lit(False).alias("home"), "c", "label", "n", "low", F.lit(True).alias("minor"))
-    dealt = own.unionByName(guests).repartition("item", "block").sortWithinPartitions("item", "block", "c", "home")
-
-    def against(t: pa.Table, lo: int, hi: int):
-        """Home rows against minor rows of one block."""
-        c, label, n, minor = (t.column(k).to_numpy()[lo:hi] for k in ("c", "label", "n", "minor"))
-        home = t.column("home").to_numpy()[lo:hi]
-        low = rows_of(t.column("low").slice(lo, hi - lo), np.uint8, COORDS)
-        y = np.flatnonzero(minor)
-        x = np.flatnonzero(home)
+    lists = by.groupBy("item").agg(F.count("*").alias("labels"), F.sum("n").alias("rows"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most")).where("labels > 1")
+    lists = lists.select("item", "main", F.ceil(F.col("rows") / LIST_BLOCK).cast("int").alias("hs"), F.ceil((F.col("rows") - F.col("most")) / GUEST_BLOCK).cast("int").alias("gs"))
+    full = rows.join(lists, "item").join(classes.select("c", "n", "sig"), "c").withColumn("minor", F.col("label") != F.col("main"))
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = (F.col("hs") == 1) & (F.col("gs") == 1)
+    cols = ("item", "i", "j", "c", "label", "n", "sig", "home", "guest")
+    small = full.where(one).select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("home"), F.col("minor").alias("guest")).select(*cols)
+    home = full.where(~one).select("*", F.pmod(F.xxhash64("c"), F.col("hs")).cast("int").alias("i"), F.explode(span("gs")).alias("j"), F.lit(True).alias("home"), F.lit(False).alias("guest")).select(*cols)
+    guest = full.where(~one & F.col("minor")).select("*", F.pmod(F.xxhash64("c", F.lit(1)), F.col("gs")).cast("int").alias("j"), F.explode(span("hs")).alias("i"), F.lit(False).alias("home"), F.lit(True).alias("guest")).select(*cols)
+    dealt = small.unionByName(home).unionByName(guest).repartition("item", "i", "j").sortWithinPartitions("item", "i", "j", "c", "home")
+    level = np.minimum(sketch, (1 << 23) - 1).astype(U64) << U64(40)
+
+    def retained(item: int, c, label, n, sig, home, guest) -> np.ndarray:
+        """Which rows of a block have a retained pair whose first common item is this list's."""
+        items = _items(sig)
+        order = level[(items & U64((1 << SKETCH_BITS) - 1)).astype(np.int64)] | (items >> U64(24))
+        out = np.zeros(len(c), bool)
+        x, y = np.flatnonzero(home), np.flatnonzero(guest)
         for a in range(0, len(y), 256):
             p = y[a : a + 256]
             for b in range(0, len(x), 256):
                 q = x[b : b + 256]
                 ok = (label[p][:, None] != label[q][None]) & (100 * np.minimum(n[p][:, None], n[q][None]) >= PERCENT * np.maximum(n[p][:, None], n[q][None]))
                 i, j = np.nonzero(ok)
-                hit = np.concatenate([(low[p[i[k : k + 65536]]] == low[q[j[k : k + 65536]]]).sum(1) >= MATCHES for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
-                if hit.any():
-                    yield np.minimum(c[p[i[hit]]], c[q[j[hit]]]), np.maximum(c[p[i[hit]]], c[q[j[hit]]])
+                for k in range(0, len(i), 32768):
+                    u, v = p[i[k : k + 32768]], q[j[k : k + 32768]]
+                    same = sig[u] == sig[v]
+                    hit = np.flatnonzero(same.sum(1) >= MATCHES)
+                    u, v, same = u[hit], v[hit], same[hit]
+                    at = np.where(same, order[u], U64(0xFFFFFFFFFFFFFFFF)).argmin(1)
+                    first = items[u, at].view(np.int64) == item
+                    out[u[first]] = out[v[first]] = True
+        return out
 
     def run(batches):
         held = None
 
         def flush(t, upto):
-            key = np.stack([t.column("item").to_numpy(), t.column("block").to_numpy()], 1)[:upto]
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            found = [x for lo, hi in zip([0, *cut], [*cut, upto], strict=True) for x in against(t, lo, hi)]
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                ab = np.unique(np.stack([a, b], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+            item, bi, bj, c, label, n, home, guest = (t.column(k).to_numpy()[:upto] for k in ("item", "i", "j", "c", "label", "n", "home", "guest"))
+            sig = rows_of(t.column("sig").slice(0, upto), np.uint32, COORDS)
+            cut = np.flatnonzero((item[1:] != item[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
+            keep = np.zeros(upto, bool)
+            for lo, hi in zip([0, *cut], [*cut, upto], strict=True):
+                keep[lo:hi] = retained(item[lo], c[lo:hi], label[lo:hi], n[lo:hi], sig[lo:hi], home[lo:hi], guest[lo:hi])
+            at = np.flatnonzero(keep)
+            if len(at):
+                yield from t.drop_columns(["n", "sig"]).take(pa.array(at)).combine_chunks().to_batches()
 
         for rb in batches:
-            t = pa.Table.from_batches([rb]) if held is None else pa.concat_tables([held, pa.Table.from_batches([rb])])
-            t = t.combine_chunks()
-            if not t.num_rows:
+            if not rb.num_rows:
                 continue
-            item, block = t.column("item").to_numpy(), t.column("block").to_numpy()
-            whole = int(np.flatnonzero((item != item[-1]) | (block != block[-1])).max(initial=-1)) + 1  # the last group may go on
+            t = pa.Table.from_batches([rb])
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            same = np.ones(t.num_rows, bool)
+            for k in ("item", "i", "j"):
+                v = t.column(k).to_numpy()
+                same &= v == v[-1]
+            whole = int(np.flatnonzero(~same).max(initial=-1)) + 1  # the last block may go on
             if whole:
                 yield from flush(t, whole)
             held = t.slice(whole).combine_chunks()
         if held is not None and held.num_rows:
             yield from flush(held, held.num_rows)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "item long, i int, j int, c long, label long, home boolean, guest boolean")
+
+
+def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sets x with sets y, by products of 0/1 matrices, some thousand members at a time."""
+    flat, size = np.concatenate(sets), np.array([len(v) for v in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, member, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1  # members of one set alone add nothing
+    ok = times[member] > 1
+    row, member = row[ok], shared[member[ok]]
+    out = np.zeros((len(x), len(y)), np.float32)
+    order = np.argsort(member, kind="stable")
+    row, member = row[order], member[order]
+    for lo in range(0, int(member[-1]) + 1 if len(member) else 0, width):
+        a, b = np.searchsorted(member, (lo, lo + width))
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[a:b], member[a:b] - lo] = 1
+        out += m[x] @ m[y].T
+    return out.astype(np.int64)
+
+
+def spanning(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirm the pairs of open_lists on full sets: edges (a, b) that span the linked members of each block."""
+
+    def confirm(t: pa.Table) -> pa.Table:
+        c, label = t.column("c").to_numpy(), t.column("label").to_numpy()
+        own = t.column("s").to_numpy()
+        n = np.array([len(v) for v in own])
+        root = np.arange(len(c))
+        x, y = np.flatnonzero(t.column("home").to_numpy()), np.flatnonzero(t.column("guest").to_numpy())
+        if len(x) and len(y):
+            both = intersections(list(own), x, y)
+            link = (100 * both >= PERCENT * (n[x][:, None] + n[y][None] - both)) & (label[x][:, None] != label[y][None])
+            i, j = (v[k] for v, k in zip((x, y), np.nonzero(link), strict=True))
+            while len(i):
+                before = root.copy()
+                least = np.minimum(root[i], root[j])
+                np.minimum.at(root, i, least)
+                np.minimum.at(root, j, least)
+                root = root[root]
+                if (root == before).all():
+                    break
+        at = np.flatnonzero(root != np.arange(len(c)))
+        return pa.table({"a": c[root[at]], "b": c[at]})
+
+    return members.join(sets, "c").groupBy("item", "i", "j").applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
@@ -306,16 +371,18 @@ def grouped(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = ws.cut(sketches(docs), "signed")
     classes = ws.cut(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    posts = postings(classes, item_sketch(classes))
-    shared = posts.groupBy("item").agg(F.count("*").alias("k"), F.min("c").alias("leader")).where("k > 1").select("item", "leader")
-    posted = ws.cut(posts.join(shared, "item"), "posted")
-    stars = colliding(posted.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct(), classes)
-    links = ws.cut(confirmed(ws.cut(stars, "stars"), classes, docs, ws, "star"), "links")
+    sketch = item_sketch(classes)
+    posts = postings(classes, sketch)
+    posted = ws.cut(posts.join(posts.groupBy("item").agg(F.count("*").alias("k")).where("k > 1"), "item"), "posted")
+    central = posted.join(posted.groupBy("c").agg(F.sum("k").alias("centrality")), "c")
+    leaders = central.groupBy("item").agg(F.max_by("c", F.struct("centrality", "c")).alias("leader"))
+    stars = posted.join(leaders, "item").where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
+    links = ws.cut(confirmed(ws.cut(colliding(stars, classes), "stars"), classes, docs, ws, "star"), "links")
     labels = ws.cut(components(links, ws, "first"), "labels")
-    more = ws.cut(open_lists(posted, labels, classes), "more")
+    more = ws.cut(open_lists(posted, labels, classes, sketch), "more")
     if not more.isEmpty():
-        links = links.union(confirmed(more, classes, docs, ws, "more"))
-        labels = ws.cut(components(links, ws, "second"), "labels2")
+        found = spanning(more, full_sets(more.select("c"), classes, docs, ws, "more-sets"))
+        labels = ws.cut(components(links.union(found), ws, "second"), "labels2")
     least = labels.join(classes.select("c", "rep"), "c").groupBy("label").agg(F.min("rep").alias("component_id"))
     of = labels.join(least, "label").select("c", "label", F.col("component_id").alias("least"))
     of = classes.select("c", "rep").join(of, "c", "left").select("c", F.coalesce("label", "c").alias("label"), F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
