@@ -36,25 +36,7 @@ class Engine:
         if not total:
             return []
         n = max(1, -(-total // max(self.settings.buffer_bytes, 1)))
-        made, tags = [], []
-        if n == 1:
-            found = seg.write(self.spark, self.manifest.files, lines)
-            made, tags = [found[0]], found[1]
-        else:
-            # by arrival, as a buffer would have been sealed
-            cuts = lines.approxQuantile("arrival_seq", [i / n for i in range(1, n)], 0.001)
-            no = F.lit(0)
-            for c in sorted(set(cuts)):
-                no = no + F.when(F.col("arrival_seq") > c, 1).otherwise(0)
-            lines = lines.withColumn("_no", no).persist()
-            try:
-                for i in range(len(set(cuts)) + 1):
-                    found = seg.write(self.spark, self.manifest.files, lines.where(F.col("_no") == i).drop("_no"))
-                    if found:
-                        made.append(found[0])
-                        tags += found[1]
-            finally:
-                lines.unpersist()
+        made, tags = seg.write(self.spark, self.manifest.files, lines, n)
 
         def change(s):
             from .operators.manifest import add_tags

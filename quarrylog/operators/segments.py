@@ -7,12 +7,13 @@ import re
 import secrets
 import time
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bloom
 from ..functions.text import line_terms
-from ..schema import MAX_SEGMENT_TAGS, STORED, Corrupt
+from ..schema import MAX_TAG_KEYS, MAX_TAG_VALUES, STORED, Corrupt
 from .manifest import Files, Segment
 
 #: A segment's distinct terms beyond this number aren't gathered for its filter, which then excludes nothing.
@@ -25,32 +26,49 @@ def new_id(now_ns: int | None = None) -> str:
 
 def created_at(key: str) -> int | None:
     """The time in a segment's name; None for foreign names."""
-    m = re.fullmatch(r"(?:segments/)?([0-9a-f]{16})-[0-9a-f]{8}", key)
+    m = re.fullmatch(r"(?:segments/)?id=([0-9a-f]{16})-[0-9a-f]{8}", key)
     return int(m[1], 16) if m else None
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """line_no by (ts_ns, arrival_seq): a stable sort, as equal times keep their arrival order."""
-    w = Window.partitionBy("segment_id").orderBy("ts_ns", "arrival_seq")
-    return lines.withColumn("line_no", (F.row_number().over(w) - 1).cast("int"))
-
-
-def write(spark: SparkSession, files: Files, lines: DataFrame, now_ns: int | None = None, generation: int = 0, files_per_segment: int = 1) -> tuple[Segment, list[tuple[str, str]]] | None:
-    """Write ts_ns, message, tags, arrival_seq as one segment; its row for the manifest and its tag pairs. None if there are no lines."""
-    sid = new_id(now_ns)
-    key = f"segments/{sid}"
-    stored = numbered(lines.select("ts_ns", "message", "tags", line_terms(F.col("message"), F.col("tags")).alias("terms"), "arrival_seq", F.lit(sid).alias("segment_id")))
-    out = stored.repartitionByRange(files_per_segment, "line_no") if files_per_segment > 1 else stored.coalesce(1)
-    out.sortWithinPartitions("line_no").select("ts_ns", "message", "tags", "terms", "arrival_seq", "line_no", "segment_id").write.mode("errorifexists").parquet(f"{files.root}/{key}")
-    back = read(spark, files, [key])
-    n, lo, hi = back.agg(F.count("*"), F.min("ts_ns"), F.max("ts_ns")).first()
-    if not n:
-        files.delete(key)
-        return None
-    terms = [r[0] for r in back.select(F.explode("terms").alias("t")).distinct().limit(MAX_BLOOM_TERMS + 1).collect()]
-    filter_ = base64.b64encode(bloom.build(terms)).decode() if len(terms) <= MAX_BLOOM_TERMS else None
-    tags = [(r.key, r.value) for r in back.select(F.explode("tags")).distinct().orderBy("key", "value").limit(MAX_SEGMENT_TAGS).collect()]
-    return Segment(sid, key, lo, hi, n, files.size(key), created_at(sid) or 0, generation, "active", filter_), tags
+def key_of(segment_id: str) -> str:
+    return f"segments/id={segment_id}"
+
+
+def write(spark: SparkSession, files: Files, lines: DataFrame, n: int = 1, now_ns: int | None = None, generation: int = 0) -> tuple[list[Segment], list[tuple[str, str]]]:
+    """Write ts_ns, message, tags, arrival_seq as about n segments: their rows for the manifest, and their tag pairs.
+
+    One range exchange by arrival deals the lines out, one task writes one segment, and its place in the task's sort is a
+    line's number (equal times keep their arrival order). Counts, filters and tags are then aggregated over what was written."""
+    first = new_id(now_ns)
+    at, tail = int(first[:16], 16), first[16:]
+    dealt = lines.select("ts_ns", "message", "tags", "arrival_seq")
+    dealt = dealt.repartitionByRange(n, "arrival_seq") if n > 1 else dealt.coalesce(1)
+    own = F.concat(F.lower(F.lpad(F.hex(F.lit(at) + F.spark_partition_id()), 16, "0")), F.lit(tail))
+    dealt = dealt.withColumns({"id": own, "terms": line_terms(F.col("message"), F.col("tags"))}).sortWithinPartitions("id", "ts_ns", "arrival_seq")
+    no = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("int")
+    out = dealt.select("ts_ns", "message", "tags", "terms", "arrival_seq", no.alias("line_no"), F.col("id").alias("segment_id"), "id")
+    out.write.mode("append").partitionBy("id").parquet(f"{files.root}/segments")
+    ids = [f"{at + i:016x}{tail}" for i in range(n)]
+    size = {name: k for name, k, _ in files.list("segments")}
+    ids = [i for i in ids if f"id={i}" in size]
+    if not ids:
+        return [], []
+    back = read(spark, files, [key_of(i) for i in ids])
+    ends = {r.segment_id: r for r in back.groupBy("segment_id").agg(F.count("*").alias("n"), F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi")).collect()}
+    distinct = back.select("segment_id", F.explode("terms").alias("term")).distinct()
+
+    def filters(rows: pd.DataFrame) -> pd.DataFrame:
+        own = bloom.build(rows["term"]) if len(rows) <= MAX_BLOOM_TERMS else b""
+        return pd.DataFrame({"segment_id": [rows["segment_id"].iloc[0]], "bloom": [own]})
+
+    made = {r.segment_id: bytes(r.bloom) for r in distinct.groupBy("segment_id").applyInPandas(filters, "segment_id string, bloom binary").collect()}
+    coded = lambda i: base64.b64encode(made.get(i, bloom.build([]))).decode() or None  # noqa: E731  too many terms: no filter
+    rows = [Segment(i, key_of(i), ends[i].lo, ends[i].hi, ends[i].n, size[f"id={i}"], int(i[:16], 16), generation, "active", coded(i)) for i in ids if i in ends]
+    # what the catalogue can hold, and one value more where a key has more
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("value"))
+    pairs = back.select(F.explode("tags")).distinct().withColumn("r", rank).where(F.col("r") <= MAX_TAG_VALUES + 1)
+    tags = [(r.key, r.value) for r in pairs.join(pairs.select("key").distinct().orderBy("key").limit(MAX_TAG_KEYS), "key").select("key", "value").collect()]
+    return rows, sorted(tags)
 
 
 def read(spark: SparkSession, files: Files, keys: list[str]) -> DataFrame:

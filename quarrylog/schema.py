@@ -10,7 +10,7 @@ STORED = f"{LINE}, terms array<string>, arrival_seq long, line_no int, segment_i
 DEFAULT_LIMIT, MAX_LIMIT, CLI_LIMIT, PAGE_LIMIT, PAGE_MAX = 1000, 10_000, 20, 100, 1024
 MAX_TEXT_BYTES, MAX_BATCH, MAX_OUTCOMES, MAX_SEARCHES = 4096, 10_000, 1000, 8
 SEARCH_TIMEOUT_S, SEARCH_ATTEMPTS = 30.0, 3
-MAX_TAG_KEYS, MAX_TAG_VALUES, MAX_SEGMENT_TAGS = 64, 256, 1024
+MAX_TAG_KEYS, MAX_TAG_VALUES = 64, 256
 BLOOM_P = 0.01
 SYSTEM_SEGMENTS, EVENT_RING = 2000, 500
 FLOOR, CEIL = -(1 << 63), (1 << 63) - 1

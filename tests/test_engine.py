@@ -87,6 +87,7 @@ def test_compaction_keeps_every_line_once(spark, tmp_path):
     assert [x["kind"] for x in e.events.rows].count("Merged") == 2 and e.tags()["n"]["values"] == ["0", "1", "2"]
     # an old unlisted segment goes; a young one and a foreign name stay
     old, young = seg.new_id(1), seg.new_id()
+    old, young = f"id={old}", f"id={young}"
     for n in (old, young, "README.txt"):
         e.manifest.files.create(f"segments/{n}/x", "x")
     assert e.collect().orphans == [old]
@@ -178,3 +179,18 @@ def test_cases_windows_and_points(spark, tmp_path):
     cut = spark.createDataFrame([(101,)], "bucket int")
     assert [tuple(r) for r in stats.loss_by_window(sent, found.union(found), cut).orderBy("bucket").collect()] == [(100, 5, 3, "lost"), (101, 5, 4, "unverifiable"), (102, 5, 5, "verified")]
     assert [tuple(r) for r in stats.lost_ranges(sent, found).orderBy("first_seq").collect()] == [(0, 2, 3, 2), (0, 7, 7, 1)]
+
+
+def test_large_ingest_makes_several_segments_in_one_pass(spark, tmp_path):
+    from quarrylog.sources import logs
+
+    e = store(spark, tmp_path, buffer_bytes=10_000)
+    lines = logs.generated(spark, 600, "run0000cafe", late_fraction=0.2, late_max_s=5)
+    made = e.ingest(lines)
+    assert len(made) >= 4 and sum(s.entry_count for s in made) == 600 == e.lines().count()
+    for r in e.lines().groupBy("segment_id").agg(F.min("line_no"), F.max("line_no"), F.count_distinct("line_no"), F.count("*")).collect():
+        assert r[1] == 0 and r[2] + 1 == r[3] == r[4]
+    found = e.search("", {}, limit=1000).hits
+    assert sorted(h["message"] for h in found) == sorted(r.message for r in lines.collect())
+    assert [h["ts_ns"] for h in found] == sorted(h["ts_ns"] for h in found)
+    assert e.search("run0000cafe").metrics["scanned"] == len(made) and e.search("absentword").metrics["scanned"] == 0

@@ -89,7 +89,7 @@ def test_histogram_axes():
 
 def test_names_tags_settings_events():
     a = new_id(5)
-    assert created_at(a) == 5 and created_at(f"segments/{a}") == 5 and created_at("README.txt") is None
+    assert created_at(f"id={a}") == 5 and created_at(f"segments/id={a}") == 5 and created_at("README.txt") is None
     assert valid_key("a/b") and not any(map(valid_key, ("", "/a", "a//b", "../x", "a\\b", "a\0b")))
     tags = {}
     add_tags(tags, [("request", f"{i:03d}") for i in range(266)])
