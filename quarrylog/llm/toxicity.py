@@ -84,12 +84,15 @@ def fit(tokens: list[np.ndarray], cuts: list[np.ndarray], y: np.ndarray, weight:
     words = associated(tokens, y, weight)
     size = np.array([len(c) for c in cuts])
     doc_of_sentence = np.repeat(np.arange(len(y)), size)
-    sentence = np.concatenate([np.repeat(np.arange(len(c)), np.diff(np.append(c, len(t)))) + o for t, c, o in zip(tokens, cuts, np.cumsum(size) - size, strict=True)])
-    sentence = np.repeat(sentence.astype(np.int32), 1 + len(PREFIXES))
-    flat = np.concatenate(tokens).ravel()
-    at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
-    ok = words[at] == flat if len(words) else np.zeros(len(flat), bool)
-    at, sentence = at[ok].astype(np.int32), sentence[ok]
+    # only occurrences of these features are kept, document by document, so memory follows them and not the texts
+    found_at, found_in = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for t, c, o in zip(tokens, cuts, np.cumsum(size) - size, strict=True):
+        flat = t.ravel()
+        k = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
+        ok = np.flatnonzero(words[k] == flat) if len(words) else np.zeros(0, np.int64)
+        found_at.append(k[ok].astype(np.int32))
+        found_in.append((o + np.searchsorted(c, ok // t.shape[1], "right") - 1).astype(np.int32))
+    at, sentence = np.concatenate(found_at), np.concatenate(found_in)
     w, bias, n = np.zeros(len(words)), -5.0, len(y)
     weight = weight / weight.sum()
     m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
