@@ -66,6 +66,15 @@ class Workspace:
             self.drop()
 
 
+def give_back() -> None:
+    """Return memory that the worker's allocators hold free: reused workers would else keep each step's peak."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def local_path(uri: str) -> str | None:
     """The plain path of a file: URI or path; None for other stores."""
     if uri.startswith("file:"):

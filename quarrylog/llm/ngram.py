@@ -30,23 +30,39 @@ RUN = 4_000_000  # keys that a task gathers before it sends a run
 ID_RANGE = 1 << 20  # word ids in one file of the per-word arrays
 
 
+def planes(v: np.ndarray) -> bytes:
+    """64-bit numbers as the byte planes that aren't all zero, after one byte that says which those are."""
+    p = np.ascontiguousarray(v.astype(U64).view(np.uint8).reshape(-1, 8).T)
+    used = p.any(1)
+    return np.packbits(used).tobytes() + p[used].tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    used = np.unpackbits(np.frombuffer(data, np.uint8, 1)).astype(bool)
+    n = (len(data) - 1) // max(int(used.sum()), 1)
+    p = np.zeros((8, n), np.uint8)
+    p[used] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, n) if used.any() else 0
+    return np.ascontiguousarray(p.T).reshape(-1).view(U64)
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as byte planes of their differences, which shuffle compression shrinks well."""
+    """Sorted 64-bit keys as byte planes of their differences."""
     d = keys.astype(U64)
     d[1:] -= keys[:-1].astype(U64)
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+    # a lone 0 would have no plane and no length: differences are stored one up
+    return planes(d + U64(1))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(U64), dtype=U64)
+    return np.cumsum(from_planes(data) - U64(1), dtype=U64)
 
 
 def pack_counts(c: np.ndarray) -> bytes:
-    return np.ascontiguousarray(c.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return planes(c.astype(U64) + U64(1))
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(U64)
+    return from_planes(data) - U64(1)
 
 
 def count_keys(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +88,13 @@ def range_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 class Runs:
     """Gathers keys and yields (shard, keys, counts) rows of sorted runs."""
 
-    def __init__(self, shard_of):
-        self.shard_of, self.parts, self.n = shard_of, [], 0
+    def __init__(self, shard_of, run: int = RUN):
+        self.shard_of, self.run, self.parts, self.n = shard_of, run, [], 0
 
     def add(self, keys: np.ndarray):
         self.parts.append(keys)
         self.n += len(keys)
-        if self.n >= RUN:
+        if self.n >= self.run:
             yield from self.flush()
 
     def flush(self):
@@ -254,7 +270,7 @@ def train(docs: DataFrame, ws: Workspace) -> Model:
         top = np.argsort(-counts, kind="stable")[: 4 * big]
         return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "tokens": [int(counts.sum())], "docs": [int(counts[np.searchsorted(keys, END) % len(keys)]) if END in keys else 0], "ranks": [top.astype(np.int64)], "top": [counts[top]]})
 
-    found = texts.mapInArrow(words, RUN_SCHEMA).groupBy("shard").applyInArrow(merge_words, "shard int, n long, tokens long, docs long, ranks array<long>, top array<long>").collect()
+    found = texts.mapInArrow(words, RUN_SCHEMA).repartition(shards, "shard").groupBy("shard").applyInArrow(merge_words, "shard int, n long, tokens long, docs long, ranks array<long>, top array<long>").collect()
     size = np.zeros(shards, np.int64)
     for r in found:
         size[r.shard] = r.n
@@ -297,7 +313,7 @@ def train(docs: DataFrame, ws: Workspace) -> Model:
         rows = [(-1, "of", b"", np.array(of, np.int64).tobytes()), *by_range("ctx", ctx[at], *sums), *by_range("cont", second.astype(np.int64), n)]
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["part", "kind", "ids", "nums"])
 
-    stats = ws.cut(texts.mapInArrow(bigrams, RUN_SCHEMA).groupBy("shard").applyInArrow(merge_bigrams, "part int, kind string, ids binary, nums binary"), "stats")
+    stats = ws.cut(texts.mapInArrow(bigrams, RUN_SCHEMA).repartition(big, "shard").groupBy("shard").applyInArrow(merge_bigrams, "part int, kind string, ids binary, nums binary"), "stats")
     of = sum(np.frombuffer(r.nums, np.int64) for r in stats.where("kind = 'of'").select("nums").collect())
     model.discounts = d = discounts(*of)
 

@@ -7,7 +7,9 @@ window: the leftmost least hash among its GRAM-byte substrings. So equal strings
    sorted files in the shared folder, memory-mapped by workers).
 2. An anchor owns a run of windows, the slice of text they cover. Equal slices are grouped; all but the first of a group
    repeat it as a whole. No text moves for this, and hot slices are pre-aggregated.
-3. Where one anchor has different slices, the first of each goes with its text to a block. A block's suffix array is
+3. Where one anchor has different slices, the first of each is fetched with its text, if it shares the anchor with
+   34 bytes more on the left or on the right with another one (an equal window reaches that far on one side). These
+   slices go to blocks. A block's suffix array is
    built by two-stage sorting: only suffixes smaller than their successors are sorted directly, the rest are induced by
    scanning the buckets upwards. Neighbours with a common prefix of LENGTH bytes or more form groups, and all but the
    first window of a group are repeats. An anchor with more slices than a block may hold is settled by hashing its windows.
@@ -29,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Block, Workspace, blocks, map_file, mix, multi_arange, prefix_sums, powers, span_hashes, write_bytes
+from .common import U64, Block, Workspace, blocks, give_back, map_file, mix, multi_arange, prefix_sums, powers, span_hashes, write_bytes
 from .ngram import RUN_SCHEMA, Runs, merged, range_shard
 
 LENGTH, GRAM = 100, 32
 #: Slices of one anchor that go to a block; beyond, its windows are hashed.
 HOT_SLICES = 1000
 #: Bytes of slices in a block, about.
-SUFFIX_BLOCK = 2 << 20
+SUFFIX_BLOCK = 256 << 10
+#: Bytes of text whose windows are hashed at once.
+TEXT_BLOCK = 1 << 18
 
 
 def anchors(b: Block, length: int = LENGTH, gram: int = GRAM):
@@ -71,23 +75,34 @@ def anchors(b: Block, length: int = LENGTH, gram: int = GRAM):
     return doc, a, lo, hi, g[a], sl
 
 
-def suffix_array(t: np.ndarray, depth: int = LENGTH + 4) -> np.ndarray:
-    """Two-stage sorting of t's suffixes, exact to depth characters (beyond, by place for directly sorted ones)."""
+STEP = 7  # characters of nine bits in a word
+
+
+def packed(t: np.ndarray, depth: int) -> np.ndarray:
+    """STEP characters from each place on in one word, zeros beyond the end, for places up to depth past it."""
+    n = len(t) + depth
+    pad = np.concatenate([t.astype(np.int64) + 1, np.zeros(depth + STEP, np.int64)])
+    word = np.zeros(n, np.int64)
+    for k in range(STEP):
+        word <<= 9
+        word |= pad[k : k + n]
+    return word
+
+
+def suffix_array(t: np.ndarray, depth: int = LENGTH + 4, word: np.ndarray | None = None) -> np.ndarray:
+    """Two-stage sorting of t's suffixes, exact to depth characters (in any order beyond). word: packed(t, depth)."""
     n = len(t)
     x = t.astype(np.int64)
+    word = packed(t, depth) if word is None else word
     # type B: smaller than the successor; an equal run has the type of its end, and the last suffix is type A
     step = np.sign(np.diff(x, append=-1))
-    nz = np.flatnonzero(step)
-    is_b = step[nz[np.searchsorted(nz, np.arange(n))]] > 0
+    end = np.where(step != 0, np.arange(n), n)
+    is_b = step[np.minimum.accumulate(end[::-1])[::-1]] > 0
     b = np.flatnonzero(is_b)
-    # direct sort, seven characters of nine bits at a time, only what is still tied
-    pad = np.concatenate([x + 1, np.zeros(depth + 8, np.int64)])
-    word = np.zeros(n + depth, np.int64)
-    for k in range(7):
-        word = (word << 9) | pad[k : k + n + depth]
-    order = b[np.argsort(word[b], kind="stable")]
+    # direct sort, a word at a time, only what is still tied
+    order = b[np.argsort(word[b])]
     group = np.concatenate([[0], np.cumsum(np.diff(word[order]) != 0)]) if len(order) else np.zeros(0, np.int64)
-    d = 7
+    d = STEP
     while d < depth and len(order):
         same = np.zeros(len(order), bool)
         eq = group[1:] == group[:-1]
@@ -96,20 +111,23 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH + 4) -> np.ndarray:
         tied = np.flatnonzero(same)
         if not len(tied):
             break
-        own, w = order[tied], word[order[tied] + d]
-        k = np.lexsort((w, group[tied]))
+        own, w, g = order[tied], word[order[tied] + d], group[tied]
+        k = np.argsort(w)
+        rank = np.empty(len(w), np.int64)
+        rank[k] = np.concatenate([[0], np.cumsum(np.diff(w[k]) != 0)])
+        k = np.argsort((g << 32) | rank)
         order[tied] = own[k]
         change = np.zeros(len(order), bool)
         change[1:] = ~eq
-        change[tied[1:]] |= (w[k][1:] != w[k][:-1]) & (np.diff(tied) == 1)
+        change[tied[1:]] |= (rank[k][1:] != rank[k][:-1]) & (np.diff(tied) == 1)
         group = np.cumsum(change)
-        d += 7
+        d += STEP
     # induced: buckets upwards; in a bucket first the type A suffixes in the order of their successors, then type B
     rank = np.full(n + 1, -1, np.int64)
     sa = np.empty(n, np.int64)
     heads = np.searchsorted(x[order], np.arange(258))
     a = np.flatnonzero(~is_b)
-    a = a[np.argsort(x[a], kind="stable")]
+    a = a[np.argsort(x[a].astype(np.int16), kind="stable")]
     tails = np.searchsorted(x[a], np.arange(258))
     filled = 0
     nxt = np.append(x[1:], -1)
@@ -117,7 +135,7 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH + 4) -> np.ndarray:
         own = a[tails[c] : tails[c + 1]]
         wave = own[nxt[own] < c]
         while len(wave):
-            wave = wave[np.argsort(rank[wave + 1], kind="stable")]
+            wave = wave[np.argsort(rank[wave + 1])]
             sa[filled : filled + len(wave)] = wave
             rank[wave] = np.arange(filled, filled + len(wave))
             filled += len(wave)
@@ -131,20 +149,23 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH + 4) -> np.ndarray:
     return sa
 
 
-def common_prefixes(t: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix of each pair of suffixes, up to most."""
+def common_prefixes(word: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of each pair of suffixes, up to most. word: packed(t, at least most)."""
     out = np.zeros(len(left), np.int64)
-    pad = np.concatenate([t, np.zeros(most + 16, t.dtype)])
     on = np.arange(len(left))
-    for d in range(0, most, 20):
-        k = np.arange(d, min(d + 20, most))
-        same = pad[left[on][:, None] + k] == pad[right[on][:, None] + k]
-        run = np.where(same.all(1), len(k), same.argmin(1))
-        out[on] += run
-        on = on[run == len(k)]
+    for d in range(0, most, STEP):
+        differ = word[left[on] + d] ^ word[right[on] + d]
+        stop = np.flatnonzero(differ)
+        # the first of the word's characters that differs
+        at = np.zeros(len(stop), np.int64)
+        for k in range(1, STEP):
+            at += (differ[stop] >> (9 * (STEP - k))) == 0
+        out[on[stop]] = d + at
+        on = on[differ == 0]
+        out[on] = d + STEP
         if not len(on):
             break
-    return out
+    return np.minimum(out, most)
 
 
 def repeats_in_block(slices: list[bytes], first: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -156,12 +177,13 @@ def repeats_in_block(slices: list[bytes], first: np.ndarray, length: int = LENGT
     body[at + size] = False
     t[body] = np.frombuffer(b"".join(slices), np.uint8).astype(np.int16) + 1
     of = np.repeat(np.arange(len(slices)), size + 1)
-    sa = suffix_array(t)
+    word = packed(t, length + 2 * STEP)
+    sa = suffix_array(t, length + 4, word)
     left = (at + size)[of[sa]] - sa
     sa = sa[left >= length]
     if not len(sa):
         return [np.zeros(0, np.int64)] * len(slices)
-    lcp = common_prefixes(t, sa[:-1], sa[1:], length)
+    lcp = common_prefixes(word, sa[:-1], sa[1:], length)
     heads = np.concatenate([[0], np.flatnonzero(lcp < length) + 1])
     order = first[of[sa]]
     least = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.append(heads, len(sa))))
@@ -182,7 +204,7 @@ _files: dict[str, np.ndarray] = {}
 
 def _mapped(uri: str) -> np.ndarray:
     if uri not in _files:
-        if len(_files) > 4096:
+        if len(_files) > 1024:
             _files.clear()
         _files[uri] = map_file(uri)
     return _files[uri]
@@ -215,16 +237,18 @@ def key_files(keys: DataFrame, col: str, root: str, shards: int) -> frozenset[in
 
 
 def spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Repeated spans (id, k, lo, hi), which may overlap. docs: id (the order), k (hash of id and text) and text."""
+    """Repeated spans (k, lo, hi), which may overlap. docs: id (the order), k (hash of id and text) and text."""
     parts = max(1, docs.rdd.getNumPartitions())
     shards = max(4, parts)
 
     def count(batches):
-        runs = Runs(lambda x: range_shard(x, shards))
+        runs = Runs(lambda x: range_shard(x, shards), 1_000_000)
         for rb in batches:
-            for b in blocks(rb.column(0)):
+            for b in blocks(rb.column(0), TEXT_BLOCK):
                 yield from runs.add(anchors(b, length, gram)[4])
+            give_back()
         yield from runs.flush()
+        give_back()
 
     twice_root = ws.path("files/twice")
 
@@ -233,59 +257,75 @@ def spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: int = GRAM
         keys = keys[counts > 1]
         if len(keys):
             write_bytes(f"{twice_root}-{s}", keys.tobytes())
+        del counts
+        give_back()
         return pa.table({"shard": pa.array([s] if len(keys) else [], pa.int32())})
 
-    twice = frozenset(r.shard for r in docs.select("text").mapInArrow(count, RUN_SCHEMA).groupBy("shard").applyInArrow(keep_twice, "shard int").collect())
+    twice = frozenset(r.shard for r in docs.select("text").mapInArrow(count, RUN_SCHEMA).repartition(shards, "shard").groupBy("shard").applyInArrow(keep_twice, "shard int").collect())
 
     def locate(batches):
         for rb in batches:
-            for b in blocks(rb.column(2)):
+            for b in blocks(rb.column(2), TEXT_BLOCK):
                 doc, a, lo, hi, h, sl = anchors(b, length, gram)
                 ok = np.flatnonzero(member(twice_root, shards, twice, h))
                 doc, base = doc[ok], b.offs[doc[ok]]
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(sl[ok].view(np.int64)), rb.column(0)[b.rows].take(take), rb.column(1)[b.rows].take(take), pa.array(a[ok] - base), pa.array(lo[ok] - base), pa.array(hi[ok] - base)], ["h", "sl", "id", "k", "a", "lo", "hi"])
+            give_back()
 
     rows = ws.cut(docs.select("id", "k", "text").mapInArrow(locate, "h long, sl long, id long, k long, a long, lo long, hi long"), "rows")
     place = F.struct("id", "k", "a")
-    slices = ws.cut(rows.groupBy("h", "sl").agg(F.min(place).alias("place")), "slices")
+    # a slice's hash covers its anchor's bytes too, so it is the whole key
+    slices = ws.cut(rows.groupBy("sl").agg(F.first("h").alias("h"), F.min(place).alias("place"), F.count("*").alias("copies")), "slices")
     # a slice that another one equals, and isn't the first: all of it is repeated
-    later = rows.join(slices, ["h", "sl"]).where(place != F.col("place")).select("id", "k", "lo", "hi")
+    again = slices.where("copies > 1").select("sl", "place")
+    later = rows.select("sl", "id", "k", "a", "lo", "hi").join(again, "sl").where(place != F.col("place")).select("k", "lo", "hi")
     # anchors with different slices: the first of each slice, with its text
-    many = slices.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    mixed = ws.cut(slices.join(many, "h").select("h", "sl", "place", "n"), "mixed")
+    many = slices.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    mixed = ws.cut(slices.join(many, "h").select("sl", "place"), "mixed")
     wanted_root = ws.path("files/wanted")
     wanted = key_files(mixed.select("sl"), "sl", wanted_root, shards)
+    owners_root = ws.path("files/owners")
+    owners = key_files(mixed.select("place.k"), "k", owners_root, shards)
 
     def fetch(batches):
         for rb in batches:
-            for b in blocks(rb.column(2)):
+            rb = rb.filter(pa.array(member(owners_root, shards, owners, rb.column(1).to_numpy().view(U64))))
+            for b in blocks(rb.column(2), TEXT_BLOCK):
                 doc, a, lo, hi, h, sl = anchors(b, length, gram)
                 ok = np.flatnonzero(member(wanted_root, shards, wanted, sl))
                 buf, take, base = b.buf.tobytes(), pa.array(doc[ok]), b.offs[doc[ok]]
                 text = pa.array([buf[i:j] for i, j in zip(lo[ok].tolist(), hi[ok].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(sl[ok].view(np.int64)), rb.column(0)[b.rows].take(take), rb.column(1)[b.rows].take(take), pa.array(a[ok] - base), pa.array(lo[ok] - base), text], ["h", "sl", "id", "k", "a", "lo", "text"])
-
-    texts = docs.select("id", "k", "text").mapInArrow(fetch, "h long, sl long, id long, k long, a long, lo long, text binary")
-    texts = texts.join(mixed, ["h", "sl"]).where(place == F.col("place")).dropDuplicates(["h", "sl"]).drop("sl", "place")
-    texts = ws.cut(texts, "texts")
+                p, at, side = prefix_sums(b.buf), a[ok], length - gram - (length - gram) // 2
+                reach = [(np.maximum(at - side, 0), at + gram, at - side >= lo[ok]), (at, np.minimum(at + gram + side, len(b.buf)), at + gram + side <= hi[ok])]
+                sides = [pa.array(span_hashes(p, x, y).view(np.int64), mask=~inside) for x, y, inside in reach]
+                yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(sl[ok].view(np.int64)), rb.column(0)[b.rows].take(take), rb.column(1)[b.rows].take(take), pa.array(at - base), pa.array(lo[ok] - base), text, *sides], ["h", "sl", "id", "k", "a", "lo", "text", "left", "right"])
+            give_back()
+
+    texts = docs.select("id", "k", "text").mapInArrow(fetch, "h long, sl long, id long, k long, a long, lo long, text binary, left long, right long")
+    texts = ws.cut(texts.join(mixed, "sl").where(place == F.col("place")).dropDuplicates(["sl"]).drop("place"), "texts")
+    alike = [texts.where(f"{c} is not null").groupBy(c).agg(F.count("*").alias("m")).where("m > 1").select(c) for c in ("left", "right")]
+    near = [texts.join(keys, c, "left_semi").select("sl") for keys, c in zip(alike, ("left", "right"), strict=True)]
+    texts = texts.drop("left", "right").join(near[0].union(near[1]).distinct(), "sl").drop("sl")
+    texts = ws.cut(texts.join(texts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h"), "close")
     total = texts.where(F.col("n") <= HOT_SLICES).agg(F.sum(F.length("text"))).first()[0] or 0
     bins = max(1, -(-total // SUFFIX_BLOCK))
 
     def suffixes(t: pa.Table) -> pa.Table:
         rank = np.empty(t.num_rows, np.int64)
         rank[np.lexsort(tuple(t.column(c).to_numpy() for c in ("a", "k", "id")))] = np.arange(t.num_rows)
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], []]
         for i, found in enumerate(repeats_in_block(t.column("text").to_pylist(), rank, length)):
             if len(found):
                 lo, hi = window_runs(found, length)
                 base = t.column("lo")[i].as_py()
-                for col, v in zip(out, ([t.column("id")[i].as_py()] * len(lo), [t.column("k")[i].as_py()] * len(lo), (lo + base).tolist(), (hi + base).tolist()), strict=True):
+                for col, v in zip(out, ([t.column("k")[i].as_py()] * len(lo), (lo + base).tolist(), (hi + base).tolist()), strict=True):
                     col += v
-        return pa.table([pa.array(c, pa.int64()) for c in out], ["id", "k", "lo", "hi"])
+        give_back()
+        return pa.table([pa.array(c, pa.int64()) for c in out], ["k", "lo", "hi"])
 
     cold = texts.where(F.col("n") <= HOT_SLICES).withColumn("bin", F.pmod(F.xxhash64("h"), F.lit(bins)))
-    found = later.unionByName(cold.groupBy("bin").applyInArrow(suffixes, "id long, k long, lo long, hi long"))
+    found = later.unionByName(cold.groupBy("bin").applyInArrow(suffixes, "k long, lo long, hi long"))
     if texts.where(F.col("n") > HOT_SLICES).limit(1).count():
 
         def windows(batches):
@@ -303,8 +343,8 @@ def spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: int = GRAM
         each = ws.cut(texts.where(F.col("n") > HOT_SLICES).select("id", "k", "a", "lo", "text").mapInArrow(windows, "w long, id long, k long, p long"), "windows")
         spot = F.struct("id", "k", "p")
         one = each.groupBy("w").agg(F.min(spot).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
-        again = each.join(one, "w").where(spot != F.col("first")).select("id", "k", F.col("p").alias("lo"), (F.col("p") + length).alias("hi"))
-        found = found.unionByName(again)
+        twice_seen = each.join(one, "w").where(spot != F.col("first")).select("k", F.col("p").alias("lo"), (F.col("p") + length).alias("hi"))
+        found = found.unionByName(twice_seen)
     return found
 
 
@@ -340,7 +380,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: b
     there = merged_files(spans(own, ws, length, gram), root, shards)
 
     def run(batches):
-        for rb in batches:
+        for rb in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             keys = rb.column(1).to_numpy().view(U64)
             shard = range_shard(keys, shards).astype(np.int64)
             texts = rb.column(2).cast(pa.binary())
@@ -358,7 +398,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: b
                         lo, hi = v[3 + 2 * n + a : 3 + 2 * n + z], v[3 + 2 * n + m + a : 3 + 2 * n + m + z]
                 cut = [0, *(x for pair in zip(lo.tolist(), hi.tolist(), strict=True) for x in pair), len(text)]
                 kept = b"".join(text[cut[x] : cut[x + 1]] for x in range(0, len(cut), 2))
-                row = (len(text), len(text) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], kept)
+                row = (len(text), len(text) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], kept if with_text else b"")
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]

@@ -123,3 +123,10 @@ def test_suffix_arrays():
         t = rng.integers(0, rng.choice([2, 4, 257]), int(rng.integers(1, 150))).astype(np.int16)
         own = t.tolist()
         assert substrings.suffix_array(t, depth=160).tolist() == sorted(range(len(own)), key=lambda i: own[i:])
+        a, b = rng.integers(0, len(own), 40), rng.integers(0, len(own), 40)
+        got = substrings.common_prefixes(substrings.packed(t, 30), a, b, 20)
+        for i, j, n in zip(a, b, got, strict=True):
+            k = 0
+            while k < 20 and max(i, j) + k < len(own) and own[i + k] == own[j + k]:
+                k += 1
+            assert n == k or (i == j and n == 20)
