@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Workspace, blocks, doc_of, mix, multi_arange, prefix_sums, span_hashes
+from .common import U64, Workspace, blocks, doc_of, give_back, mix, multi_arange, prefix_sums, span_hashes
 
 COORDS, MATCHES = 64, 36
 SHINGLE, PERCENT = 5, 85
@@ -107,6 +107,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for b in blocks(rb.column(2), lower=True):
                 s, first = shingle_sets(b)
                 yield pa.RecordBatch.from_arrays([rb.column(0)[b.rows], rb.column(1)[b.rows], pa.array(np.diff(first)), pa.array(set_hashes(s, first).view(np.int64)), binary_rows(signatures(s, first))], ["doc_id", "t", "n", "c", "sig"])
+            give_back()
 
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, t long, n long, c long, sig binary")
 
@@ -196,6 +197,7 @@ def full_sets(c: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspace,
                 has = np.flatnonzero(np.diff(first))
                 sets = pa.ListArray.from_arrays(pa.array(np.concatenate([first[:-1][has], first[-1:]]).astype(np.int32)), pa.array(s.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(set_hashes(s, first)[has].view(np.int64)), sets], ["c", "s"])
+            give_back()
 
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)).cast("int")
     sets = docs.select(h.alias("h"), "text").mapInArrow(run, "c long, s array<long>").join(need.select("c"), "c", "left_semi")

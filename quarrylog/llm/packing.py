@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocks, multi_arange, prefix_sums, span_hashes
+from .common import Workspace, blocks, give_back, multi_arange, prefix_sums, span_hashes
 
 SIZE, END_ID = 4096, 1
 #: Fillings tried around one largest length before the best so far is taken.
@@ -123,6 +123,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False)
                 if with_ids:
                     cols.append(pa.array([ids[i : i + k].astype(np.int64) for i, k in zip(lo, length, strict=True)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Block, blocks, doc_of, mix, prefix_sums, span_hashes
+from .common import SPACE, Block, blocks, doc_of, give_back, mix, prefix_sums, span_hashes
 
 #: At most so many labelled rows are learnt from, those of the smallest hash; a bound of the training only.
 SAMPLE_ROWS = 12_000
@@ -241,5 +241,6 @@ def keep(docs: DataFrame, model: Trees | None, reject_at: float = REJECT_AT) ->
                 bad = model.probability(x) if model is not None else np.zeros(len(x))
                 ok.append((base[:, 0] >= MIN_WORDS) & (100 * base[:, 4] <= MAX_REPEAT_PERCENT * base[:, 0]) & (bad < reject_at))
             yield rb.filter(pa.array(np.concatenate(ok))) if ok else rb
+            give_back()
 
     return src.mapInArrow(run, src.schema).toDF(*names)
