@@ -2,14 +2,14 @@
 
 1. Every document gets the set of its 5-word shingles (64-bit hashes) and a signature of COORDS minima. Documents with the
    same set form a class; from here on only one of each class is looked at.
-2. A class is posted under (coordinate, value) pairs. Two classes that agree on MATCHES coordinates or more must share one
-   of the first COORDS - MATCHES + 1 pairs of any common order (prefix), so only those are posted, rarest first; the order
+2. A class is posted under (coordinate, value) pairs. Two classes that agree on `matches` coordinates or more must share one
+   of the first COORDS - matches + 1 pairs of any common order (prefix), so only those are posted, rarest first; the order
    comes from a sketch of fixed size, and any order is right. Pairs posted by one class alone are skipped at once.
 3. Merging skips what is settled: first each posting list is held against its most central class only (the one in the
    fullest lists), and the links found are joined into components. Only lists that still hold several components are merged
    fully, in blocks, and there the members of the largest component are held against the others but not among each other.
-4. A pair is retained if it collides on MATCHES coordinates or more (for Jaccard 0.85, P(fewer) < 1e-7), in the first list
-   that both are in; retained pairs are confirmed on the full shingle sets, which are fetched for these classes alone. What
+4. A pair is retained if it collides on matches(percent) coordinates or more (for Jaccard percent / 100, P(fewer) < 1e-8), in
+   the first list that both are in; retained pairs are confirmed on the full shingle sets, which are fetched for these classes alone. What
    leaves a block is never its pairs but which members have any, and then edges that span its components.
 
 No step emits all pairs of a group, caps a list or gathers links on the driver; the two fixed-size sketches do reach it.
@@ -21,6 +21,8 @@ keeps them); an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, Workspace, blocks, doc_of, give_back, mix, multi_arange, prefix_sums, span_hashes
 
-COORDS, MATCHES = 64, 36
-SHINGLE, PERCENT = 5, 85
+COORDS, SHINGLE = 64, 5
+#: The least similarity of a link, and that of op10's contract.
+PERCENT, OP10_PERCENT = 80, 85
 SKETCH_BITS, BITMAP_BITS = 18, 23
 #: Rows of a posting list that are held against others at once, and how many others.
 LIST_BLOCK, GUEST_BLOCK = 512, 1024
@@ -41,6 +44,14 @@ _C = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) | U64(1)
 _K = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 
 
+def matches(percent: int) -> int:
+    """How many coordinates must collide: the most that sets of this similarity miss with a probability below 1e-8."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < COORDS and (below := below + math.comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)) < 1e-8:
+        m += 1
+    return m
+
+
 def shingle_sets(block) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each document, ascending, and where each document's begin (n + 1 long). block: lower-cased."""
     starts, ends, first = block.words()
@@ -132,9 +143,9 @@ def item_sketch(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(classes: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(item, c): each class under the rarest COORDS - MATCHES + 1 of its items."""
-    keep = COORDS - MATCHES + 1
+def postings(classes: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+    """(item, c): each class under the rarest COORDS - matches(percent) + 1 of its items."""
+    keep = COORDS - matches(percent) + 1
     level = np.minimum(sketch, (1 << 23) - 1).astype(U64) << U64(40)
 
     def run(batches):
@@ -150,19 +161,20 @@ def postings(classes: DataFrame, sketch: np.ndarray) -> DataFrame:
     return classes.select("c", "sig").mapInArrow(run, "item long, c long")
 
 
-def similar(n_a, n_b):
+def similar(n_a, n_b, percent: int):
     """Whether sizes alone allow a link."""
-    return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
+    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
 
-def colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those of allowed sizes that agree on MATCHES coordinates or more."""
+def colliding(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those of allowed sizes that agree on matches(percent) coordinates or more."""
+    least = matches(percent)
     low = low_bytes(classes)
-    full = pairs.join(low.toDF("b", "nb", "sb"), "b").join(low.toDF("a", "na", "sa"), "a").where(similar(F.col("na"), F.col("nb"))).select("a", "b", "sa", "sb")
+    full = pairs.join(low.toDF("b", "nb", "sb"), "b").join(low.toDF("a", "na", "sa"), "a").where(similar(F.col("na"), F.col("nb"), percent)).select("a", "b", "sa", "sb")
 
     def run(batches):
         for rb in batches:
-            same = (rows_of(rb.column(2), np.uint8, COORDS) == rows_of(rb.column(3), np.uint8, COORDS)).sum(1) >= MATCHES
+            same = (rows_of(rb.column(2), np.uint8, COORDS) == rows_of(rb.column(3), np.uint8, COORDS)).sum(1) >= least
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1)], ["a", "b"]).filter(pa.array(same))
 
     return full.mapInArrow(run, "a long, b long")
@@ -204,12 +216,12 @@ def full_sets(c: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspace,
     return ws.cut(sets.groupBy("c").agg(F.first("s").alias("s")), name)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspace, name: str) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ws: Workspace, name: str, percent: int) -> DataFrame:
     """Of pairs (a, b), those linked by their full shingle sets. pairs: a table (read twice)."""
     sets = full_sets(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))), classes, docs, ws, f"{name}-sets")
     full = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return full.where(100 * inter >= PERCENT * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
+    return full.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -232,7 +244,7 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct())
 
 
-def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, sketch: np.ndarray) -> DataFrame:
+def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     """What is left to confirm: members (item, i, j, c, label, home, guest) of lists with several components that have a
     retained pair there: a home row against a guest row of its block (i, j), of another component."""
     rows = posted.select("item", "c").join(labels, "c", "left").select("item", "c", F.coalesce("label", "c").alias("label"))
@@ -248,6 +260,7 @@ def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, sketch:
     guest = full.where(~one & F.col("minor")).select("*", F.pmod(F.xxhash64("c", F.lit(1)), F.col("gs")).cast("int").alias("j"), F.explode(span("hs")).alias("i"), F.lit(False).alias("home"), F.lit(True).alias("guest")).select(*cols)
     dealt = small.unionByName(home).unionByName(guest).repartition("item", "i", "j").sortWithinPartitions("item", "i", "j", "c", "home")
     level = np.minimum(sketch, (1 << 23) - 1).astype(U64) << U64(40)
+    least = matches(percent)
 
     def retained(item: int, c, label, n, sig, home, guest) -> np.ndarray:
         """Which rows of a block have a retained pair whose first common item is this list's."""
@@ -259,12 +272,12 @@ def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, sketch:
             p = y[a : a + 256]
             for b in range(0, len(x), 256):
                 q = x[b : b + 256]
-                ok = (label[p][:, None] != label[q][None]) & (100 * np.minimum(n[p][:, None], n[q][None]) >= PERCENT * np.maximum(n[p][:, None], n[q][None]))
+                ok = (label[p][:, None] != label[q][None]) & (100 * np.minimum(n[p][:, None], n[q][None]) >= percent * np.maximum(n[p][:, None], n[q][None]))
                 i, j = np.nonzero(ok)
                 for k in range(0, len(i), 32768):
                     u, v = p[i[k : k + 32768]], q[j[k : k + 32768]]
                     same = sig[u] == sig[v]
-                    hit = np.flatnonzero(same.sum(1) >= MATCHES)
+                    hit = np.flatnonzero(same.sum(1) >= least)
                     u, v, same = u[hit], v[hit], same[hit]
                     at = np.where(same, order[u], U64(0xFFFFFFFFFFFFFFFF)).argmin(1)
                     first = items[u, at].view(np.int64) == item
@@ -323,7 +336,7 @@ def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, width: i
     return out.astype(np.int64)
 
 
-def spanning(members: DataFrame, sets: DataFrame) -> DataFrame:
+def spanning(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirm the pairs of open_lists on full sets: edges (a, b) that span the linked members of each block."""
 
     def confirm(t: pa.Table) -> pa.Table:
@@ -334,7 +347,7 @@ def spanning(members: DataFrame, sets: DataFrame) -> DataFrame:
         x, y = np.flatnonzero(t.column("home").to_numpy()), np.flatnonzero(t.column("guest").to_numpy())
         if len(x) and len(y):
             both = intersections(list(own), x, y)
-            link = (100 * both >= PERCENT * (n[x][:, None] + n[y][None] - both)) & (label[x][:, None] != label[y][None])
+            link = (100 * both >= percent * (n[x][:, None] + n[y][None] - both)) & (label[x][:, None] != label[y][None])
             i, j = (v[k] for v, k in zip((x, y), np.nonzero(link), strict=True))
             while len(i):
                 before = root.copy()
@@ -350,40 +363,40 @@ def spanning(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.join(sets, "c").groupBy("item", "i", "j").applyInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, ws: Workspace | None = None, percent: int = OP10_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    return grouped(docs, ws).select("doc_id", "n_shingles", "component_id", "kept")
+    return grouped(docs, ws, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without near-duplicates: of each component the row of the smallest doc_id (then text hash), with all columns."""
     ws = Workspace(docs.sparkSession, "neardup")
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     # rows of one doc_id and different texts can be in one component: the smallest hash stays
-    kept = grouped(docs, ws).where("kept").groupBy("label", key("doc_id").alias("_k")).agg(F.min("t").alias("_t")).select("_k", "_t")
+    kept = grouped(docs, ws, percent).where("kept").groupBy("label", key("doc_id").alias("_k")).agg(F.min("t").alias("_t")).select("_k", "_t")
     names = docs.columns
     own = [f"_x{i}" for i in range(len(names))]
     src = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(names, own, strict=True)), key("doc_id").alias("_k"), F.xxhash64("text").alias("_t"))
     return src.join(kept, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"]).select(*own).toDF(*names)
 
 
-def grouped(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
+def grouped(docs: DataFrame, ws: Workspace | None = None, percent: int = PERCENT) -> DataFrame:
     """doc_id, t, label (of the component; of an empty text, its hash), n_shingles, component_id and kept of every document."""
     ws = ws or Workspace(docs.sparkSession, "neardup")
     docs = docs.select("doc_id", "text")
     signed = ws.cut(sketches(docs), "signed")
     classes = ws.cut(signed.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     sketch = item_sketch(classes)
-    posts = postings(classes, sketch)
+    posts = postings(classes, sketch, percent)
     posted = ws.cut(posts.join(posts.groupBy("item").agg(F.count("*").alias("k")).where("k > 1"), "item"), "posted")
     central = posted.join(posted.groupBy("c").agg(F.sum("k").alias("centrality")), "c")
     leaders = central.groupBy("item").agg(F.max_by("c", F.struct("centrality", "c")).alias("leader"))
     stars = posted.join(leaders, "item").where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
-    links = ws.cut(confirmed(ws.cut(colliding(stars, classes), "stars"), classes, docs, ws, "star"), "links")
+    links = ws.cut(confirmed(ws.cut(colliding(stars, classes, percent), "stars"), classes, docs, ws, "star", percent), "links")
     labels = ws.cut(components(links, ws, "first"), "labels")
-    more = ws.cut(open_lists(posted, labels, classes, sketch), "more")
+    more = ws.cut(open_lists(posted, labels, classes, sketch, percent), "more")
     if not more.isEmpty():
-        found = spanning(more, full_sets(more.select("c"), classes, docs, ws, "more-sets"))
+        found = spanning(more, full_sets(more.select("c"), classes, docs, ws, "more-sets"), percent)
         labels = ws.cut(components(links.union(found), ws, "second"), "labels2")
     least = labels.join(classes.select("c", "rep"), "c").groupBy("label").agg(F.min("rep").alias("component_id"))
     of = labels.join(least, "label").select("c", "label", F.col("component_id").alias("least"))

@@ -87,7 +87,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=neardup.OP10_PERCENT)
 
 
 def queries():
