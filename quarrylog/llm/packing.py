@@ -3,8 +3,8 @@
 Documents are tokenised (each distinct chunk once per worker, cut where the tokenizer never joins), cut where longer
 than a sequence, and packed by their lengths alone: pieces of one length are interchangeable, so the packing is solved on
 the histogram of lengths, which has at most `size` entries however large the corpus is. Around the largest remaining
-length the undominated fillings of the rest are enumerated depth first, pruned by the waste that any filling must
-leave; the best-fit filling is the incumbent. A filling is repeated as often as its counts allow. Pieces are then ranked
+length fillings of the rest are tried depth first until one leaves no waste or `nodes` are tried; the best-fit filling is
+the incumbent. A filling is taken for good and repeated as often as its counts allow: a capped greedy. Pieces are then ranked
 within their length (by hash buckets, so a length of a third of all pieces is spread) and take the slots of that rank.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; ties take any slot of their
@@ -131,8 +131,8 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False)
 def complete(largest: int, lengths: list[int], counts: dict[int, int], size: int, nodes: int = NODES) -> list[int]:
     """The best filling found around the largest length: least waste, and of these the one with the largest members.
 
-    lengths: the remaining lengths, ascending. Depth first from large to small; a filling that could still take a length is
-    dominated by the one that does and isn't kept; a branch is left when it can't waste less than the incumbent."""
+    lengths: the remaining lengths, ascending. Depth first from large to small; a filling replaces the best so far if it
+    wastes less. The search ends at no waste or after `nodes` tries; nothing bounds the waste of a branch before."""
     room = size - largest
     best: list[int] = []
     rest = room
