@@ -25,6 +25,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-SF = "/root/testdata/sf0.001"
