@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised kernels; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Tables whose compressed files are larger are not broadcast.
+BROADCAST_BYTES = 4 << 20
 U64 = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
@@ -29,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; unset, a temporary one in local mode, an error on a cluster."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = _fallback.setdefault(spark.sparkContext.applicationId, "")
         if not root:
             root = _fallback[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="quarrylog-")
@@ -56,10 +61,18 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _at(self, name: str | None):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def small(self, df: DataFrame, name: str) -> DataFrame:
+        """df, which is read from the table name, marked for broadcast if that table's files are small; Spark chooses otherwise."""
+        p, fs = self._at(name)
+        return F.broadcast(df) if fs.getContentSummary(p).getLength() <= BROADCAST_BYTES else df
+
     def drop(self, name: str | None = None) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = self._at(name)
+        fs.delete(p, True)
 
     def _quiet_drop(self) -> None:
         with contextlib.suppress(Exception):

@@ -1,21 +1,21 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that reveal what they found.
 
 Built from DataFrame functions alone. The values that the base patterns find (emails, addresses, cards, phones) are the
-protected entities. For each entity e and each term t (a run of MIN_TERM letters or more, lower-cased) within CONTEXT
-characters of a mention on its line, co(t, e) is the number of documents with both, df their document counts over all N
-documents, and
+protected entities. For each entity e and each term t (a run of MIN_TERM letters or more, lower-cased, outside emails),
+co(t, e) is the number of documents with both, anywhere in their texts, df their document counts over all N documents, and
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(N co / (df(t) df(e))) / log(N / df(e)),
 
-the share of e's information that t gives away. A term that meets e in at least MIN_CONTEXTS different contexts (so copies
-of one passage are no evidence) and discloses GENERALISE_AT or more is a span in every document that mentions e; from
-REMOVE_AT on it is removed, below that it is generalised.
+the share of e's information that t gives away. Evidence needs three different contexts: a term counts if the documents
+that have it with e mention e in three different surroundings (CONTEXT characters to each side on the line), so copies of
+one passage are none. A term that discloses GENERALISE_AT or more is a span in every document that mentions e and is
+generalised there; from REMOVE_AT on it is a span wherever it occurs, with or without e, and is removed.
 
-Every array is bounded by one document. Counts are partial aggregates; candidate terms are written to the shared folder,
-and Spark broadcasts them only while the written table is below its own threshold.
+Every array is bounded by one document. Counts are partial aggregates, so a common entity or term costs a row a task. The
+table of documents with such terms is broadcast only while its files are small, and joined by key beyond that.
 
-Defined cases: a null text is empty and has no spans; repeated rows (same doc_id and text) count as one document and get
-the same result; a null doc_id is a value like others; an empty table gives an empty result; extra columns are ignored.
+Defined cases: a null text is empty and has no spans; repeated rows (same doc_id and text) count as one document everywhere
+and get the same result; a null doc_id is a value like others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-MIN_TERM, CONTEXT, MIN_CONTEXTS = 4, 96, 3
+MIN_TERM, CONTEXT = 2, 40
 GENERALISE_AT, REMOVE_AT = 0.6, 0.9
 
 #: Kind, expression and guard (a cheap test that any match passes). Possessive groups keep the matcher from recursing on long
@@ -42,7 +42,7 @@ SPAN = "array<struct<s:int,e:int,v:string>>"
 def _valid(kind: str, v: Column) -> Column:
     digits = F.regexp_replace(v, "[^0-9]", "")
     if kind == "ip":
-        return v.rlike(r"^(?:0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$")
+        return v.rlike(r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$")
     if kind == "card":
         return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
@@ -50,18 +50,35 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
+#: Results of a fold are gathered in runs of this length, so that appending to them stays linear.
+RUN = 64
+
+
+def gathered(items: Column, start: Column, kind: str, step) -> Column:
+    """Fold over items, step(position, item) giving (new position, result or null): the results in order, an array of kind."""
+    none = F.array().cast(f"array<{kind}>")
+    zero = F.struct(start.alias("p"), none.alias("cur"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+
+    def add(acc, x):
+        at, own = step(acc["p"], x)
+        full = F.size(acc["cur"]) == RUN
+        cur = F.when(full, F.array(own)).otherwise(F.concat(acc["cur"], F.array(own)))
+        return F.struct(at.alias("p"), cur.alias("cur"), F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"))
+
+    return F.aggregate(items, zero, add, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["cur"]))))
+
+
 def located(text: Column, regex: Column) -> Column:
     """All matches in order with start and end in code points: what lies between them gives their places."""
     found = F.regexp_extract_all(text, regex, F.lit(0))
     pairs = F.zip_with(found, F.slice(F.split(text, regex, -1), 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(SPAN).alias("o"))
 
-    def step(acc, x):
-        at = acc["p"] + x["g"]
+    def step(p, x):
+        at = p + x["g"]
         end = at + F.length(x["m"])
-        return F.struct(end.alias("p"), F.concat(acc["o"], F.array(F.struct(at.alias("s"), end.alias("e"), x["m"].alias("v")))).alias("o"))
+        return end, F.struct(at.alias("s"), end.alias("e"), x["m"].alias("v"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["o"])
+    return gathered(pairs, F.lit(0), "struct<s:int,e:int,v:string>", step)
 
 
 def kind_spans(text: Column, kind: str, regex: str, guard: str) -> Column:
@@ -94,44 +111,68 @@ def maybe(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, without what is in emails."""
+    _, email, guard = KINDS[0]
+    rest = F.when(text.rlike(guard), F.regexp_replace(text, email, " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(r"\p{L}{%d,}" % MIN_TERM), F.lit(0)))
+
+
+def several_contexts() -> Column:
+    """Whether a group has three different contexts or more: the sum of (c - min)(c - max) is 0 only if all are the least or the greatest."""
+    c = F.col("context").cast("decimal(10,0)")
+    lo, hi = F.min(c), F.max(c)
+    return F.sum(c * c) - (lo + hi) * F.sum(c) + F.count("*") * (lo * hi) != 0
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null made empty) and _h, its hash: the two name a document, whatever its id."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+
+
 def disclosing_terms(docs: DataFrame, ws: Workspace) -> DataFrame | None:
     """doc_id, _h (hash of the text), reveal and remove (arrays of terms) of the documents with disclosing terms; None if there is no such term."""
-    found = with_base(docs.select("doc_id", "text").where(maybe(F.col("text")))).where(has_base())
+    own = keyed(docs)
+    found = with_base(own.where(maybe(F.col("text")))).where(has_base())
     text = F.col("text")
 
     def context(x):
         left = F.substring_index(F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))), "\n", -1)
         right = F.substring_index(F.substring(text, x["e"] + 1, F.lit(CONTEXT)), "\n", 1)
-        # a word that the limit cuts is left out
-        left = F.when(F.length(left) >= CONTEXT, F.regexp_replace(left, r"^\p{L}++", "")).otherwise(left)
-        right = F.when(F.length(right) >= CONTEXT, F.regexp_replace(right, r"\p{L}++$", "")).otherwise(right)
-        return F.concat_ws(" ", left, right)
+        return F.pmod(F.xxhash64(left, right), F.lit(1 << 30))
 
     def mentioned(kind):
-        return F.transform(F.col(kind), lambda x: F.struct(_entity(kind, x["v"]).alias("entity"), context(x).alias("near")))
+        return F.transform(F.col(kind), lambda x: F.struct(_entity(kind, x["v"]).alias("entity"), context(x).alias("context")))
 
-    mentions = F.concat(*(mentioned(k) for k, *_ in KINDS))
-    rows = found.select("doc_id", F.xxhash64("text").alias("_h"), F.explode(F.array_distinct(mentions)).alias("m")).select("doc_id", "_h", "m.entity", F.xxhash64("m.near").alias("context"), F.array_distinct(F.regexp_extract_all(F.lower("m.near"), F.lit(r"\p{L}{%d,}" % MIN_TERM), F.lit(0))).alias("terms"))
+    found = found.select("doc_id", "_h", F.array_distinct(F.concat(*(mentioned(k) for k, *_ in KINDS))).alias("mentions"), terms_of(text).alias("terms"))
+    found = ws.cut(found.dropDuplicates(["doc_id", "_h"]), "found")
+    rows = found.select("doc_id", "_h", F.explode("mentions").alias("m")).groupBy("doc_id", "_h", "m.entity").agg(F.min("m.context").alias("context"))
     rows = ws.cut(rows, "mentions")
-    key = F.struct("doc_id", "_h")
-    pairs = rows.select("entity", "context", key.alias("doc"), F.explode("terms").alias("term"))
-    # most pairs have one context: whether a pair has more is seen before anything distinct is counted
-    pairs = pairs.groupBy("entity", "term", "context", "doc").agg(F.lit(1).alias("one"))
-    cand = ws.cut(pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc").alias("co")).where(F.col("contexts") >= MIN_CONTEXTS), "candidates")
+    entities = ws.cut(rows.groupBy("entity").agg(F.count("*").alias("df_e"), several_contexts().alias("ok")).where("ok").drop("ok"), "entities")
+    if entities.isEmpty():
+        return None
+    key = ["doc_id", "_h"]
+    told = rows.join(entities, "entity")
+    terms = found.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_fh"), "terms")
+    told = told.join(terms, told["doc_id"].eqNullSafe(terms["_id"]) & (told["_h"] == terms["_fh"])).select(*key, "entity", "df_e", "context", "terms")
+    pairs = ws.cut(told, "told").select(*key, "entity", "df_e", "context", F.explode("terms").alias("term"))
+    cand = ws.cut(pairs.groupBy("entity", "df_e", "term").agg(F.count("*").alias("co"), several_contexts().alias("ok")).where("ok").drop("ok"), "candidates")
     if cand.isEmpty():
         return None
-    n = docs.count()
-    df_e = rows.groupBy("entity").agg(F.count_distinct("doc_id", "_h").alias("df_e"))
-    terms = ws.cut(cand.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{%d,}" % MIN_TERM), F.lit(0)))).alias("term"))
-    df_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
+    n, n_rows = own.groupBy(*key).agg(F.count("*").alias("k")).agg(F.count("*"), F.sum("k")).first()
+    once = own if n == n_rows else own.dropDuplicates(key)
+    words = once.select(*key, F.explode(terms_of(text)).alias("term"))
+    df_t = words.groupBy("term").agg(F.count("*").alias("df_t"))
     pmi = F.log(F.lit(float(n)) * F.col("co") / (F.col("df_t") * F.col("df_e")))
     share = pmi / F.greatest(F.log(F.lit(float(n)) / F.col("df_e")), F.lit(1e-9))
-    flagged = ws.cut(cand.join(df_t, "term").join(df_e, "entity").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE_AT), "flagged")
+    flagged = ws.cut(cand.join(df_t, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE_AT), "flagged")
     if flagged.isEmpty():
         return None
-    own = rows.select("doc_id", "_h", "entity").distinct().join(flagged, "entity").groupBy("doc_id", "_h")
-    return ws.cut(own.agg(F.collect_set("term").alias("reveal"), F.collect_set(F.when(F.col("share") >= REMOVE_AT, F.col("term"))).alias("remove")), "reveal")
+    near = pairs.join(flagged, ["entity", "term"]).select(*key, "term", (F.col("share") >= REMOVE_AT).alias("goes"))
+    everywhere = ws.cut(flagged.where(F.col("share") >= REMOVE_AT).select("term").distinct(), "everywhere")
+    if not everywhere.isEmpty():
+        near = near.union(words.join(everywhere, "term").select(*key, "term", F.lit(True)))
+    return ws.cut(near.groupBy(*key).agg(F.collect_set("term").alias("reveal"), F.collect_set(F.when(F.col("goes"), F.col("term"))).alias("remove")), "reveal")
 
 
 def find(docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -140,15 +181,12 @@ def find(docs: DataFrame, ws: Workspace) -> DataFrame:
     reveal = disclosing_terms(docs, ws)
     if reveal is None:
         return with_base(docs).withColumns({"term": F.array().cast(SPAN), "remove": none})
-    seen = maybe(F.col("text"))
-    rest = with_base(docs.where(~seen)).withColumns({"term": F.array().cast(SPAN), "remove": none})
     r = reveal.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_rh"), "reveal", "remove")
-    some = with_base(docs.where(seen).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))))
-    some = some.join(r, some["doc_id"].eqNullSafe(r["_id"]) & (some["_h"] == r["_rh"]), "left")
+    some = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    some = with_base(some.join(ws.small(r, "reveal"), some["doc_id"].eqNullSafe(r["_id"]) & (some["_h"] == r["_rh"]), "left"))
     rule = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort("reveal"), "|"), F.lit(r")(?!\p{L})"))
     some = some.withColumn("term", F.when(F.col("reveal").isNotNull(), located(F.col("text"), rule)).otherwise(F.array().cast(SPAN)))
-    some = some.withColumn("remove", F.coalesce("remove", none)).drop("_h", "_id", "_rh", "reveal")
-    return rest.unionByName(some)
+    return some.withColumn("remove", F.coalesce("remove", none)).drop("_h", "_id", "_rh", "reveal")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -170,14 +208,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.transform(F.col(kind), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), label(x).alias("l")))
 
     every = F.array_sort(F.concat(*(labelled(k) for k in (*(k for k, *_ in KINDS), "term"))))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("o"))
 
-    def step(acc, x):
-        end = -x["e"]
-        part = F.concat(F.substring(F.col("text"), acc["p"] + 1, x["s"] - acc["p"]), x["l"])
-        fits = x["s"] >= acc["p"]
-        return F.struct(F.greatest(acc["p"], end).alias("p"), F.when(fits, F.concat(acc["o"], F.array(part))).otherwise(acc["o"]).alias("o"))
+    def step(p, x):  # what a span before it has taken already adds nothing
+        part = F.concat(F.substring(F.col("text"), p + 1, x["s"] - p), x["l"])
+        return F.greatest(p, -x["e"]), F.when(x["s"] >= p, part).otherwise("")
 
-    clean = F.aggregate(every, start, step, lambda acc: F.concat(F.array_join(acc["o"], ""), F.substring(F.col("text"), acc["p"] + 1, F.length("text"))))
+    last = F.greatest(F.coalesce(F.array_max(F.transform(every, lambda x: -x["e"])), F.lit(0)), F.lit(0))
+    clean = F.concat(F.array_join(gathered(every, F.lit(0), "string", step), ""), F.substring(F.col("text"), last + 1, F.length("text")))
     changed = F.when(has_base() | (F.size("term") > 0), clean).otherwise(F.col("text"))
     return out.select(*(changed.alias("text") if c == "text" else F.col("doc_id") if c == "doc_id" else F.col(shadow[c]).alias(c) for c in names))
