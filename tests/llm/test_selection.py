@@ -76,13 +76,18 @@ def best(lengths, size):
     return found
 
 
-def test_packing_is_near_the_best():
+def test_packing_is_the_best():
     rng = np.random.default_rng(1)
-    for _ in range(30):
-        lengths = rng.integers(1, 20, int(rng.integers(1, 11))).tolist()
-        plan = packing.pack_lengths({x: lengths.count(x) for x in set(lengths)}, 20)
-        assert sorted(x for times, own in plan for x in own * times) == sorted(lengths) and all(sum(own) <= 20 for _, own in plan)
-        assert sum(times for times, _ in plan) <= best(lengths, 20) + 1
+    for size, most, rounds in ((20, 11, 150), (50, 10, 150), (100, 9, 100)):
+        for _ in range(rounds):
+            lengths = rng.integers(1, size, int(rng.integers(1, most))).tolist()
+            counts = {x: lengths.count(x) for x in set(lengths)}
+            plan = packing.pack_lengths(counts, size)
+            assert sorted(x for times, own in plan for x in own * times) == sorted(lengths) and all(sum(own) <= size for _, own in plan)
+            assert packing.lower_bound(counts, size) <= best(lengths, size) == sum(times for times, _ in plan)
+    # many of few kinds, where taking each filling as often as it goes isn't best: 7 x (5 + 5) and 5 x (4 + 3 + 3)
+    plan = packing.pack_lengths({5: 14, 4: 5, 3: 10}, 10)
+    assert sum(t for t, _ in plan) == 12
     assert packing.pack_lengths({}) == []
 
 
@@ -91,7 +96,7 @@ def test_pieces_and_places(spark):
     from tokenizers import Tokenizer
 
     rng = np.random.default_rng(9)
-    odd_signs = ["It's", "don't!!", "Ünïcödé—x", "a.b,c", "中文字", "'s", "###9", "\x85", "İx"]
+    odd_signs = ["<|startoftext|>", "a<|endoftext|>b.", "<|ENDOFTEXT|>", "<|endoftext|>'s", "é<|endoftext|><|startoftext|>\u0301e", "It's", "don't!!", "Ünïcödé—x", "ЖИЗНЬ", "Ωμέγας", "ǅ", "é", "ﬁ", "ßſ", "a.b,c", "中文字", "'s", "###9", "\x85", "İx"]
     rows = [(i, " ".join(rng.choice(odd_signs + [prose(rng, 3)], int(rng.integers(0, 60)))), "en", "a", 0) for i in range(60)]
     docs = spark.createDataFrame(rows, DOC).unionByName(odd(spark).select("doc_id", "text", "lang", "source", "n_chars"))
     tok = Tokenizer.from_file(tokenizer_path())
@@ -110,7 +115,8 @@ def test_pieces_and_places(spark):
     for own in seqs.values():
         own.sort()
         assert own[0][0] == 0 and all(b[0] == a[0] + a[1] for a, b in itertools.pairwise(own)) and sum(own[-1]) <= size
-    assert len(seqs) <= -(-sum(r.length for r in out) // size) + 1
+    lengths = [r.length for r in out]
+    assert len(seqs) == packing.lower_bound({x: lengths.count(x) for x in set(lengths)}, size)
     assert packing.tokenise_and_pack(spark.createDataFrame([], DOC), tokenizer_path()).count() == 0
 
 
