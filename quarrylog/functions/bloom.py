@@ -35,15 +35,34 @@ def hashes(term: str) -> tuple[int, int]:
     return h, _spread(h) | 1
 
 
+def hash_pairs(terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """hashes() of all terms at once: a step of numpy for each byte position, over the terms that reach it."""
+    raw = [t.encode() for t in terms]
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")  # those that reach a position come first
+    buf = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    at, size = (np.cumsum(size) - size)[order], size[order]
+    h = np.full(len(raw), 14695981039346656037, np.uint64)
+    for k in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -k, "left"))
+        h[:n] = (h[:n] ^ buf[at[:n] + k]) * np.uint64(1099511628211)
+    a = np.empty_like(h)
+    a[order] = h
+    z = a + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return a, (z ^ (z >> np.uint64(31))) | np.uint64(1)
+
+
 def build(terms, p: float = BLOOM_P) -> bytes:
     """k as u32, m as u64, then the bits."""
     terms = list(dict.fromkeys(terms))
     m, k = parameters(len(terms), p)
     bits = np.zeros((m + 7) // 8, np.uint8)
     if terms:
-        h = np.array([hashes(t) for t in terms], np.uint64)
+        a, b = hash_pairs(terms)
         for i in range(k):
-            at = (h[:, 0] + np.uint64(i) * h[:, 1]) % np.uint64(m)
+            at = (a + np.uint64(i) * b) % np.uint64(m)
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
     return struct.pack("<IQ", k, m) + bits.tobytes()
 

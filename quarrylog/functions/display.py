@@ -61,6 +61,34 @@ def duration_label(seconds: int) -> str:
     return f"{seconds}s"
 
 
+def range_label(start: str = "", end: str = "", last_s: int = 0) -> str:
+    """A range of time in words: all of it, the last so long, or from and to, with the date once where both are of one day."""
+    start, end = start.strip(), end.strip()
+    if last_s:
+        return f"Last {duration_label(last_s)}"
+    if start and end:
+        return f"{start} – {end[11:] if start[:10] == end[:10] and len(end) > 10 else end}"
+    return f"From {start}" if start else f"Until {end}" if end else "All time"
+
+
+def range_problem(start: str, end: str, stored: tuple[int, int] | None = None) -> tuple[str, str] | None:
+    """Which bound of a range is wrong, and why; stored: the first and last nanosecond that there are lines of."""
+    at = {}
+    for side, text in (("from", start), ("to", end)):
+        try:
+            at[side] = parse_page_time(text.strip().replace(" ", "T", 1)) if text.strip() else 0
+        except (InvalidRequest, ValueError):
+            return side, f"{text.strip()!r} is no time; write it as 2005-06-20 13:00, in UTC"
+    if at["from"] and at["to"] and at["to"] <= at["from"]:
+        return "to", "the end does not come after the start"
+    if stored:
+        if at["from"] > stored[1]:
+            return "from", f"no stored line is so late; the last is of {iso(stored[1])}"
+        if at["to"] and at["to"] < stored[0]:
+            return "to", f"no stored line is so early; the first is of {iso(stored[0])}"
+    return None
+
+
 def last_range(newest_ns: int, seconds: int) -> tuple[int, int]:
     """The last so many seconds before the newest stored line, whose minute is rounded up; the end is open."""
     minute = 60_000_000_000

@@ -23,6 +23,16 @@ class Histogram:
     def total(self) -> int:
         return sum(self.counts)
 
+    def reach(self, n: int, newest_first: bool = False) -> tuple[int, int]:
+        """The range of time [lo, hi) that holds the first n hits, or the last."""
+        seen, order = 0, range(len(self.counts))
+        for i in reversed(order) if newest_first else order:
+            seen += self.counts[i]
+            if seen >= n:
+                break
+        end = self.start + self.width * len(self.counts)
+        return (self.start + self.width * i, end) if newest_first else (self.start, self.start + self.width * (i + 1))
+
 
 def buckets(lo: int, hi: int, width: int) -> int:
     """Aligned buckets that [lo, hi) touches."""

@@ -1,8 +1,10 @@
-"""Immutable, time-sorted Parquet segments."""
+"""Immutable, time-sorted Parquet segments, each with a filter over its terms in a table beside it.
+
+Damage shows three ways: Parquet's page checksums are verified on every read, a segment's files must have the bytes that
+its row says, and verify() holds their CRC-32 and the count of their lines against it."""
 
 from __future__ import annotations
 
-import base64
 import re
 import secrets
 import time
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom
 from ..functions.text import line_terms
-from ..schema import MAX_TAG_KEYS, MAX_TAG_VALUES, STORED, Corrupt
+from ..schema import MAX_SEGMENT_PAIRS, MAX_TAG_KEYS, MAX_TAG_VALUES, STORED, Corrupt
 from .manifest import Files, Segment
 
 #: A segment's distinct terms beyond this number aren't gathered for its filter, which then excludes nothing.
@@ -34,52 +36,81 @@ def key_of(segment_id: str) -> str:
     return f"segments/id={segment_id}"
 
 
-def write(spark: SparkSession, files: Files, lines: DataFrame, n: int = 1, now_ns: int | None = None, generation: int = 0) -> tuple[list[Segment], list[tuple[str, str]]]:
+def write(spark: SparkSession, files: Files, lines: DataFrame, n: int = 1, now_ns: int | None = None, generation: int = 0, group: str | None = None) -> tuple[list[Segment], list[tuple[str, str]]]:
     """Write ts_ns, message, tags, arrival_seq as about n segments: their rows for the manifest, and their tag pairs.
 
     One range exchange by arrival deals the lines out, one task writes one segment, and its place in the task's sort is a
     line's number (equal times keep their arrival order). Counts, filters and tags are then aggregated over what was written."""
     first = new_id(now_ns)
     at, tail = int(first[:16], 16), first[16:]
-    dealt = lines.select("ts_ns", "message", "tags", "arrival_seq")
-    dealt = dealt.repartitionByRange(n, "arrival_seq") if n > 1 else dealt.coalesce(1)
-    own = F.concat(F.lower(F.lpad(F.hex(F.lit(at) + F.spark_partition_id()), 16, "0")), F.lit(tail))
-    dealt = dealt.withColumns({"id": own, "terms": line_terms(F.col("message"), F.col("tags"))}).sortWithinPartitions("id", "ts_ns", "arrival_seq")
-    no = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("int")
-    out = dealt.select("ts_ns", "message", "tags", "terms", "arrival_seq", no.alias("line_no"), F.col("id").alias("segment_id"), "id")
+    columns = ["ts_ns", "message", "tags", "arrival_seq"]
+    if group:  # a segment for each value (a number from 0 on) of a column that the caller deals lines by
+        dealt = lines.select(*columns, F.col(group).cast("long").alias("_g")).repartition("_g")
+        no = F.row_number().over(Window.partitionBy("_g").orderBy("ts_ns", "arrival_seq")) - 1
+    else:
+        dealt = lines.select(*columns)
+        dealt = (dealt.repartitionByRange(n, "arrival_seq") if n > 1 else dealt.coalesce(1)).withColumn("_g", F.spark_partition_id().cast("long"))
+        no = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    own = F.concat(F.lower(F.lpad(F.hex(F.lit(at) + F.col("_g")), 16, "0")), F.lit(tail))
+    dealt = dealt.withColumns({"id": own, "terms": line_terms(F.col("message"), F.col("tags"))})
+    dealt = dealt.withColumn("line_no", no) if group else dealt.sortWithinPartitions("id", "ts_ns", "arrival_seq").withColumn("line_no", no)
+    out = dealt.select("ts_ns", "message", "tags", "terms", "arrival_seq", F.col("line_no").cast("int").alias("line_no"), F.col("id").alias("segment_id"), "id")
     out.write.mode("append").partitionBy("id").parquet(f"{files.root}/segments")
-    ids = [f"{at + i:016x}{tail}" for i in range(n)]
     size = {name: k for name, k, _ in files.list("segments")}
-    ids = [i for i in ids if f"id={i}" in size]
+    ids = sorted(i for i in (name[3:] for name in size if name.endswith(tail) and created_at(name) is not None) if int(i[:16], 16) >= at)
     if not ids:
         return [], []
     back = read(spark, files, [key_of(i) for i in ids])
     ends = {r.segment_id: r for r in back.groupBy("segment_id").agg(F.count("*").alias("n"), F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi")).collect()}
+    sums = checksums(spark, files, [key_of(i) for i in ids])
     distinct = back.select("segment_id", F.explode("terms").alias("term")).distinct()
 
     def filters(rows: pd.DataFrame) -> pd.DataFrame:
         own = bloom.build(rows["term"]) if len(rows) <= MAX_BLOOM_TERMS else b""
         return pd.DataFrame({"segment_id": [rows["segment_id"].iloc[0]], "bloom": [own]})
 
-    made = {r.segment_id: bytes(r.bloom) for r in distinct.groupBy("segment_id").applyInPandas(filters, "segment_id string, bloom binary").collect()}
-    coded = lambda i: base64.b64encode(made.get(i, bloom.build([]))).decode() or None  # noqa: E731  too many terms: no filter
-    rows = [Segment(i, key_of(i), ends[i].lo, ends[i].hi, ends[i].n, size[f"id={i}"], int(i[:16], 16), generation, "active", coded(i)) for i in ids if i in ends]
+    # written where they are made; the driver learns their sizes
+    table = f"filters/{first}"
+    distinct.groupBy("segment_id").applyInPandas(filters, "segment_id string, bloom binary").write.mode("overwrite").parquet(f"{files.root}/{table}")
+    made = {r.segment_id: r.n for r in spark.read.schema("segment_id string, bloom binary").parquet(f"{files.root}/{table}").select("segment_id", F.length("bloom").alias("n")).collect()}
+    rows = [Segment(i, key_of(i), ends[i].lo, ends[i].hi, ends[i].n, size[f"id={i}"], int(i[:16], 16), generation, "active", table if i in made else None, made.get(i, 0), sums.get(i)) for i in ids if i in ends]
     # what the catalogue can hold, and one value more where a key has more
     rank = F.row_number().over(Window.partitionBy("key").orderBy("value"))
-    pairs = back.select(F.explode("tags")).distinct().withColumn("r", rank).where(F.col("r") <= MAX_TAG_VALUES + 1)
+    pairs = segment_pairs(back).select("key", "value").distinct().withColumn("r", rank).where(F.col("r") <= MAX_TAG_VALUES + 1)
     tags = [(r.key, r.value) for r in pairs.join(pairs.select("key").distinct().orderBy("key").limit(MAX_TAG_KEYS), "key").select("key", "value").collect()]
     return rows, sorted(tags)
 
 
+def checksums(spark: SparkSession, files: Files, keys: list[str]) -> dict[str, int]:
+    """The sum of the CRC-32 of each segment's files, by id; a file is read whole by one task."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{files.root}/{k}" for k in keys])
+    of = F.regexp_extract("path", r"/id=([^/]+)/[^/]*$", 1)
+    return {r.id: r.sum for r in found.groupBy(of.alias("id")).agg(F.sum(F.crc32("content")).alias("sum")).collect()}
+
+
+def segment_pairs(lines: DataFrame, most: int = MAX_SEGMENT_PAIRS) -> DataFrame:
+    """segment_id, key, value: the first distinct tag pairs of each segment, by key and value. Counted before they are ranked,
+    so a segment's common pairs are one row each."""
+    pairs = lines.select("segment_id", F.explode("tags")).distinct()
+    rank = F.row_number().over(Window.partitionBy("segment_id").orderBy("key", "value"))
+    return pairs.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
 def read(spark: SparkSession, files: Files, keys: list[str]) -> DataFrame:
     if not keys:
         return spark.createDataFrame([], STORED)
-    return spark.read.schema(STORED).option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").parquet(*(f"{files.root}/{k}" for k in keys))
+    return spark.read.schema(STORED).option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").option("parquet.page.verify-checksum.enabled", "true").parquet(*(f"{files.root}/{k}" for k in keys))
 
 
 def verify(spark: SparkSession, files: Files, s: Segment) -> None:
-    """Read a segment back and hold its count and size against its row."""
-    if read(spark, files, [s.storage_key]).count() != s.entry_count or files.size(s.storage_key) != s.size_bytes:
+    """Read a segment back and hold its bytes, lines and checksum against its row."""
+    if not files.exists(s.storage_key) or files.size(s.storage_key) != s.size_bytes:
+        raise Corrupt(f"{s.id} doesn't have the bytes that its row says")
+    try:
+        sums, n = checksums(spark, files, [s.storage_key]), read(spark, files, [s.storage_key]).count()
+    except Exception as e:
+        raise Corrupt(f"{s.id} can't be read") from e
+    if n != s.entry_count or (s.checksum is not None and sums != {s.id: s.checksum}):
         raise Corrupt(f"{s.id} is not what its row says")
 
 

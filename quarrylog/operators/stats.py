@@ -54,6 +54,14 @@ def templates(lines: DataFrame, group: list[str], top: int = 500) -> DataFrame:
     return counts.orderBy(F.desc("n"), *group, "template").limit(top)
 
 
+def coverage(lines: DataFrame, mined: DataFrame) -> DataFrame:
+    """total, covered and share: how many lines the mined templates stand for."""
+    total = lines.agg(F.count("*").alias("total"))
+    covered = mined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("covered"))
+    both = total.select("total", F.lit(0).cast("long").alias("covered")).union(covered.select(F.lit(0).cast("long"), "covered"))
+    return both.agg(F.sum("total").alias("total"), F.sum("covered").alias("covered")).select("*", F.try_divide("covered", "total").alias("share"))
+
+
 def percentiles(df: DataFrame, value: str, ps: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Nearest-rank percentiles: the least value with at least p of all at or below it; 0 for none."""
     cols = [F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), F.lit(0.0)).alias(n) for n, p in ps.items()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import uuid
 from collections.abc import Callable
 
@@ -9,12 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import bloom, text
+from ..operators import segments as seg
 from ..operators import stats
 from ..operators.compaction import pick_batch
 from ..operators.histogram import WIDTHS, axis, bucket_start, dense
 from ..operators.manifest import Segment
-from ..operators.search import hits, top
+from ..operators.search import BLOOM, TIME, hits, top
 from ..schema import STORED, Settings
 from ..sources import logs
 
@@ -47,6 +52,35 @@ def shown(df: DataFrame) -> DataFrame:
     return df.select("ts_ns", "message", F.col("tags")["type"].alias("event_type"), F.col("tags")["k"].alias("k"))
 
 
+def store_of(spark, lines: DataFrame, group: str, settings: Settings | None = None) -> tuple[Engine, dict[str, int]]:
+    """A new store that has a segment for each value of a column, and the value of each segment's id."""
+    e = Engine(spark, new_folder(spark, "store"), settings)
+    made, tags = seg.write(spark, e.manifest.files, lines, group=group)
+
+    def change(s) -> None:
+        from ..operators.manifest import add_tags
+
+        for x in made:
+            s.segments[x.id] = x
+        add_tags(s.tags, tags)
+
+    e.manifest.commit(change)
+    first = min((x.created_at for x in made), default=0)
+    own = [r[0] for r in lines.agg(F.min(group)).collect()][0] if made else 0
+    return e, {x.id: x.created_at - first + own for x in made}
+
+
+_stores: dict[tuple, tuple[Engine, dict[str, int]]] = {}
+
+
+def events_store(spark, d) -> tuple[Engine, dict[str, int]]:
+    """The events in a store of interleaved, overlapping segments; made once a session, as queries only read it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _stores or not _stores[key][0].manifest.files.exists("manifest"):
+        _stores[key] = store_of(spark, logs.interleaved(logs.events(spark, d)), "segment_no")
+    return _stores[key]
+
+
 @query(f"WITH {EV} SELECT ts_ns, message, event_type, k FROM ev WHERE list_contains({toks('message')}, 'error') AND ts_ns >= {JAN5} AND ts_ns < {JAN5 + DAY} ORDER BY ts_ns, arrival_seq LIMIT 100")
 def search_word_window(spark, d):
     return shown(top(hits(logs.events(spark, d), "ERROR", {}, JAN5, JAN5 + DAY), 100))
@@ -83,9 +117,12 @@ def search_truncated_flag(spark, d):
     return top(found, 101).agg(F.least(F.count("*"), F.lit(100)).alias("returned"), (F.count("*") > 100).alias("truncated"))
 
 
-@query(f"WITH {EV} SELECT ts_ns, message, event_type, k FROM ev WHERE list_contains({toks('message')}, 'nosuchword')")
+@query(f"WITH {EV}, w AS (SELECT unnest(['nosuchword', 'signup']) AS word) SELECT word, count(message) AS total FROM w LEFT JOIN ev ON list_contains({toks('message')}, word) GROUP BY 1")
 def search_absent_word(spark, d):
-    return shown(top(hits(logs.events(spark, d), "nosuchword", {}), 100))
+    """A word that no line has, which filters answer, and one that lines have."""
+    e, _ = events_store(spark, d)
+    found = {w: e.search(w, limit=1).histogram for w in ("nosuchword", "signup")}
+    return spark.createDataFrame([(w, h.total if h else 0) for w, h in found.items()], "word string, total long")
 
 
 @query(f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{Nd}}]+'), lambda t: lower(t) IN ('the', 'of'))) AS INTEGER) AS n_hits FROM documents WHERE list_contains({toks('text')}, 'the') AND list_contains({toks('text')}, 'of')")
@@ -130,9 +167,11 @@ def segment_manifest(spark, d):
     return _segments(spark, d)
 
 
-@query(f"WITH {SEG} SELECT segment_no, max_ts >= {JAN5} AND min_ts < {JAN5 + DAY} AS in_range FROM segs")
+@query(f"WITH {SEG} SELECT segment_no, max_ts >= {JAN5} AND min_ts < {JAN5 + DAY} AS in_range, min_ts, max_ts, entry_count FROM segs")
 def segment_plan(spark, d):
-    return stats.plan(_segments(spark, d), JAN5, JAN5 + DAY).select("segment_no", "in_range")
+    e, no = events_store(spark, d)
+    rows = [(no[s.id], near, s.min_ts, s.max_ts, s.entry_count) for s, near in e.manifest.plan(JAN5, JAN5 + DAY)]
+    return spark.createDataFrame(rows, "segment_no long, in_range boolean, min_ts long, max_ts long, entry_count long")
 
 
 @query(f"""WITH {SEG}, q AS (SELECT range AS window_no, {JAN5} + range * {2 * DAY} AS a, {JAN5} + (range + 1) * {2 * DAY} AS z FROM range(10))
@@ -145,28 +184,31 @@ def segment_interval_join(spark, d):
     return q.join(n, "window_no", "left").select("window_no", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-@query(f"""WITH {SEG}, t AS (SELECT segment_no, bool_or(list_contains({toks('message')}, 'user17')) AS there, count(*) FILTER (list_contains({toks('message')}, 'user17') AND ts_ns >= {JAN5} AND ts_ns < {JAN5 + 5 * DAY}) AS n FROM sg GROUP BY 1)
-SELECT segment_no, CASE WHEN NOT (max_ts >= {JAN5} AND min_ts < {JAN5 + 5 * DAY}) THEN 'skipped_by_time' WHEN NOT there THEN 'skipped_by_bloom' ELSE 'scanned' END AS outcome, n AS hits FROM segs JOIN t USING (segment_no)""")
+@query(f"""WITH {SEG}, t AS (SELECT segment_no, count(*) FILTER (list_contains({toks('message')}, 'user17') AND ts_ns >= {JAN5} AND ts_ns < {JAN5 + 5 * DAY}) AS n FROM sg GROUP BY 1)
+SELECT segment_no, max_ts >= {JAN5} AND min_ts < {JAN5 + 5 * DAY} AS in_range, n AS hits, false AS lost FROM segs JOIN t USING (segment_no)""")
 def segment_outcomes(spark, d):
-    lo, hi = JAN5, JAN5 + 5 * DAY
-    has = F.array_contains(text.tokens(F.col("message")), "user17")
-    near = (F.col("ts_ns") >= lo) & (F.col("ts_ns") < hi)
-    rows = logs.interleaved(logs.events(spark, d)).groupBy("segment_no").agg(F.min("ts_ns").alias("min_ts"), F.max("ts_ns").alias("max_ts"), F.bool_or(has).alias("there"), F.count(F.when(has & near, 1)).alias("hits"))
-    outcome = F.when(~((F.col("max_ts") >= lo) & (F.col("min_ts") < hi)), "skipped_by_time").when(~F.col("there"), "skipped_by_bloom").otherwise("scanned")
-    return rows.select("segment_no", outcome.alias("outcome"), "hits")
+    """What a search did with each segment. A filter may let a segment through that lacks the word, but never hold one back that
+    has it: lost tells whether it did, by counting over the lines of those it held back."""
+    e, no = events_store(spark, d)
+    r = e.search("user17", {}, JAN5, JAN5 + 5 * DAY, 10_000)
+    back = [o.segment.storage_key for o in r.outcomes if o.outcome == BLOOM]
+    there = {x.segment_id for x in hits(seg.read(spark, e.manifest.files, back), "user17", {}).select("segment_id").distinct().collect()}
+    rows = [(no[o.segment.id], o.outcome != TIME, o.hits, o.segment.id in there) for o in r.outcomes]
+    return spark.createDataFrame(rows, "segment_no long, in_range boolean, hits long, lost boolean")
 
 
-@query(f"WITH {SEG} SELECT count(*) AS segments, CAST(coalesce(sum(entry_count), 0) AS BIGINT) AS lines, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes, coalesce(min(min_ts), 0) AS min_ts, coalesce(max(max_ts), 0) AS max_ts FROM segs")
+@query(f"WITH {SEG} SELECT count(*) AS segments, CAST(coalesce(sum(entry_count), 0) AS BIGINT) AS lines, coalesce(min(min_ts), 0) AS min_ts, coalesce(max(max_ts), 0) AS max_ts FROM segs")
 def corpus_stats(spark, d):
-    return stats.corpus(_segments(spark, d).withColumn("status", F.lit("active")))
+    own = events_store(spark, d)[0].stats()
+    return spark.createDataFrame([tuple(own[k] for k in ("segments", "lines", "min_ts", "max_ts"))], "segments long, lines long, min_ts long, max_ts long")
 
 
 @query(f"""WITH {EV}, p AS (SELECT 'type' AS key, event_type AS value FROM ev UNION SELECT 'k', k FROM ev UNION SELECT 'lang', lang FROM documents UNION SELECT 'source', source FROM documents),
 r AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value) AS r, count(*) OVER (PARTITION BY key) AS n FROM p)
-SELECT key, value, n > 64 AS capped FROM r WHERE r <= 64""")
+SELECT key, value, n > 256 AS capped FROM r WHERE r <= 256""")
 def tag_catalogue(spark, d):
     both = logs.events(spark, d).select("tags").unionByName(logs.documents(spark, d).select("tags"))
-    return stats.tag_catalogue(both, max_values=64)
+    return stats.tag_catalogue(both)
 
 
 @query("SELECT DISTINCT 'source=' || source AS suggestion FROM documents WHERE starts_with(lower(source), 'src1') ORDER BY 1 LIMIT 8")
@@ -203,27 +245,52 @@ def orphan_keys(spark, d):
     return stats.orphans(stored, spark.read.parquet(f"{d}/lineitem.parquet").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("orphan")), "orphan")
 
 
-@query(f"""WITH {SEG}, i AS (SELECT *, row_number() OVER (PARTITION BY segment_no ORDER BY ts_ns, arrival_seq) - 1 AS own_no FROM sg WHERE segment_no < 4)
-SELECT ts_ns, message, segment_no AS input, CAST(row_number() OVER (ORDER BY ts_ns, segment_no, own_no) - 1 AS BIGINT) AS line_no FROM i""")
+#: Eight overlapping streams of events, in order of their first line.
+EIGHT = f"""{EV}, sg AS (SELECT *, arrival_seq % 8 AS segment_no FROM ev),
+ranked AS (SELECT segment_no, row_number() OVER (ORDER BY min(ts_ns), segment_no) - 1 AS rank FROM sg GROUP BY 1)"""
+
+
+def eight(spark, d, **settings) -> tuple[Engine, dict[str, int]]:
+    big = {"small_bytes": 1 << 40, "target_bytes": 1 << 40} | settings
+    return store_of(spark, logs.events(spark, d).withColumn("segment_no", F.col("arrival_seq") % 8), "segment_no", Settings(**big))
+
+
+@query(f"""WITH {EIGHT}, i AS (SELECT *, row_number() OVER (PARTITION BY segment_no ORDER BY ts_ns, arrival_seq) AS own_no FROM sg JOIN ranked USING (segment_no))
+SELECT ts_ns, message, rank // 4 AS batch, CAST(1 AS BIGINT) AS generation, CAST(row_number() OVER (PARTITION BY rank // 4 ORDER BY ts_ns, rank, own_no) - 1 AS BIGINT) AS line_no FROM i""")
 def compaction_union(spark, d):
-    own = F.row_number().over(Window.partitionBy("segment_no").orderBy("ts_ns", "arrival_seq"))
-    inputs = logs.interleaved(logs.events(spark, d)).where("segment_no < 4").withColumn("own_no", own).withColumn("merged", F.lit(0))
-    no = F.row_number().over(Window.partitionBy("merged").orderBy("ts_ns", "segment_no", "own_no")) - 1
-    return inputs.select("ts_ns", "message", F.col("segment_no").alias("input"), no.cast("long").alias("line_no"))
+    """All lines after merging segments four by four: which merge has each, and its number there."""
+    e, _ = eight(spark, d, min_segments=4, max_segments=4)
+    made = {}
+    while new := e.compactor.once():
+        made[new.id] = (len(made), new.generation)
+        e.compactor.bad.add(new.id)  # what is merged isn't merged again here
+    order = spark.createDataFrame([(i, b, g) for i, (b, g) in made.items()], "segment_id string, batch long, generation long")
+    return e.lines().join(order, "segment_id").select("ts_ns", "message", "batch", "generation", F.col("line_no").cast("long").alias("line_no"))
+
 
+_PICK = Settings(small_bytes=30_000, target_bytes=200_000, min_segments=2, max_segments=8)
 
-@query()
+
+@query(f"""WITH RECURSIVE {SEG}, small AS (SELECT segment_no, size_bytes, row_number() OVER (ORDER BY min_ts, segment_no) AS r FROM segs WHERE size_bytes < {_PICK.small_bytes}),
+took AS (SELECT r, segment_no, size_bytes, size_bytes AS total FROM small WHERE r = 1
+UNION ALL SELECT s.r, s.segment_no, s.size_bytes, t.total + s.size_bytes FROM took t JOIN small s ON s.r = t.r + 1 WHERE t.total + s.size_bytes <= {_PICK.target_bytes} AND s.r <= {_PICK.max_segments})
+SELECT segment_no, size_bytes FROM took WHERE (SELECT count(*) FROM took) >= {_PICK.min_segments}""")
 def compaction_pick(spark, d):
-    """Greedy and stateful, so without SQL: which segments a merge would take."""
+    """Which segments a merge would take: a walk over the catalogue's rows, oldest first."""
     rows = _segments(spark, d).orderBy("min_ts", "segment_no").collect()
     own = [Segment(f"{r.segment_no:06d}", f"segments/{r.segment_no}", r.min_ts, r.max_ts, r.entry_count, r.size_bytes, 0) for r in rows]
-    took = pick_batch(own, Settings(small_bytes=30_000, target_bytes=200_000, min_segments=2, max_segments=8))
+    took = pick_batch(own, _PICK)
     return spark.createDataFrame([(int(s.id), s.size_bytes) for s in took], "segment_no long, size_bytes long")
 
 
-@query(f"WITH {SEG} SELECT segment_no // 4 AS batch, max(segment_no % 3) + 1 AS generation, CAST(sum(entry_count) AS BIGINT) AS entry_count FROM segs GROUP BY 1")
+@query(f"WITH {EV} SELECT CAST(4 AS BIGINT) AS generation, count(*) AS entry_count, min(ts_ns) AS min_ts, max(ts_ns) AS max_ts FROM ev HAVING count(*) > 7")
 def merge_generation(spark, d):
-    return _segments(spark, d).groupBy(F.expr("segment_no div 4").alias("batch")).agg((F.max(F.col("segment_no") % 3) + 1).alias("generation"), F.sum("entry_count").alias("entry_count"))
+    """Eight segments merged three by three, oldest first, until one is left: each merge is one generation up."""
+    e, _ = eight(spark, d, min_segments=2, max_segments=3)
+    while e.compact():
+        pass
+    rows = [(s.generation, s.entry_count, s.min_ts, s.max_ts) for s in e.manifest.snapshot().ordered()]
+    return spark.createDataFrame(rows, "generation long, entry_count long, min_ts long, max_ts long")
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
@@ -310,10 +377,11 @@ def bgl_parse(spark, d):
     return out.select("id", "ts_ns", F.col("tags")["alert"].alias("alert"), F.col("tags")["component"].alias("component"), F.col("tags")["level"].alias("level"), "message")
 
 
-@query(f"WITH {EV}, u AS (SELECT ts_ns, message, event_type, k FROM ev WHERE arrival_seq % 2 = 0 UNION ALL SELECT ts_ns, message, event_type, k FROM ev WHERE arrival_seq % 3 = 0) SELECT DISTINCT ts_ns, message, event_type, k FROM u")
+@query(f"WITH {EV} SELECT DISTINCT ts_ns, message, event_type, k FROM ev")
 def line_key_dedup(spark, d):
+    """All events, and those of a second, overlapping source once more: each line once."""
     e = logs.events(spark, d)
-    both = e.where("arrival_seq % 2 = 0").unionByName(e.where("arrival_seq % 3 = 0"))
+    both = e.unionByName(e.where("arrival_seq % 3 = 0"))
     return shown(both.withColumn("key", logs.line_key(F.col("ts_ns"), F.col("message"), F.col("tags"))).dropDuplicates(["key"]))
 
 
@@ -322,16 +390,20 @@ def reservoir_sample(spark, d):
     return stats.sample(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source"), "doc_id", 50, 42)
 
 
-@query("SELECT 0 AS segment_no, '' AS term WHERE false")
+@query(f"WITH t AS (SELECT doc_id // 100 AS segment_no, unnest({toks('text')}) AS term FROM documents) SELECT segment_no, count(DISTINCT term) AS terms, CAST(0 AS BIGINT) AS denied, true AS selective FROM t GROUP BY 1")
 def bloom_no_false_negative(spark, d):
-    """Terms of a segment that its own filter denies: none."""
-    terms = logs.interleaved(logs.events(spark, d)).select("segment_no", F.explode(text.line_terms(F.col("message"), F.col("tags"))).alias("term")).distinct()
+    """Of segments of 100 documents: their distinct terms, how many of them their own filter denies (none), and whether it lets
+    through less than 3 % of words that it doesn't have."""
+    docs = logs.documents(spark, d)
+    terms = docs.select(F.expr("arrival_seq div 100").alias("segment_no"), F.explode(text.tokens(F.col("message"))).alias("term")).distinct()
 
-    def denied(rows: pd.DataFrame) -> pd.DataFrame:
+    def probed(rows: pd.DataFrame) -> pd.DataFrame:
         f = bloom.build(rows["term"])
-        return rows[[not bloom.may_contain(f, t) for t in rows["term"]]]
+        denied = sum(not bloom.may_contain(f, t) for t in rows["term"])
+        passed = sum(bloom.may_contain(f, f"~absent{i}") for i in range(2000))
+        return pd.DataFrame({"segment_no": [rows["segment_no"].iloc[0]], "terms": [len(rows)], "denied": [denied], "selective": [passed < 60]})
 
-    return terms.groupBy("segment_no").applyInPandas(denied, "segment_no int, term string")
+    return terms.groupBy("segment_no").applyInPandas(probed, "segment_no long, terms long, denied long, selective boolean")
 
 
 @query("SELECT range AS at_s, CAST(floor(range * 100.0 + (floor(range / 10.0) * 2 + greatest(range - floor(range / 10.0) * 10 - 8, 0)) * 100.0 * 2) AS BIGINT) AS due FROM range(61)")
@@ -341,22 +413,19 @@ def burst_schedule(spark, d):
 
 @query(f"WITH {EV} SELECT event_type, count(*) AS n, min(ts_ns) AS min_ts, max(ts_ns) AS max_ts FROM ev GROUP BY 1")
 def stream_ingest_available_now(spark, d):
-    """Events as a stream of files, written exactly once to a table, and aggregated from there."""
+    """Events as a stream of files, sealed by the engine's sink batch by batch, and aggregated from what it stored."""
     src = spark.read.parquet(f"{d}/events.parquet")
-    root = f"{scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    e = Engine(spark, new_folder(spark, "stream"))
     stream = spark.readStream.schema(src.schema).parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/events.parque[t]")
-    lines = stream.select((F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), "event_type")
-    q = lines.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/lines")
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/lines").groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts_ns").alias("min_ts"), F.max("ts_ns").alias("max_ts"))
+    lines = stream.select((F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), F.concat("event_type", F.lit(" event")).alias("message"), F.create_map(F.lit("type"), "event_type").alias("tags"), F.col("event_id").alias("arrival_seq"))
+    e.ingest_stream(lines, f"{e.manifest.files.root}/checkpoint", available_now=True).awaitTermination()
+    return e.lines().groupBy(F.col("tags")["type"].alias("event_type")).agg(F.count("*").alias("n"), F.min("ts_ns").alias("min_ts"), F.max("ts_ns").alias("max_ts"))
 
 
 @query(f"WITH {EV} SELECT ts_ns, message FROM ev WHERE list_contains({toks('message')}, 'signup') AND ts_ns >= {JAN5} AND ts_ns < {JAN5 + 2 * DAY} ORDER BY ts_ns DESC, arrival_seq DESC LIMIT 100")
 def engine_search(spark, d):
     """The whole way: overlapping segments in a store, manifest, pruning, scan, merge."""
-    from ..engine import Engine
-
-    e = Engine(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex[:12]}")
+    e = Engine(spark, new_folder(spark, "store"))
     lines = logs.events(spark, d)
     for half in (0, 1):
         e.ingest(lines.where(F.expr("arrival_seq div 2000") % 2 == half))
@@ -365,10 +434,33 @@ def engine_search(spark, d):
 
 
 def scratch(spark) -> str:
-    """The folder that all executors share; a temporary one where none is named (tests)."""
+    """The folder that all executors share; unset, a temporary one in local mode, an error on a cluster."""
+    import re
     import tempfile
 
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quarrylog-")).rstrip("/")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quarrylog-")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
+    return root.rstrip("/")
+
+
+def new_folder(spark, name: str) -> str:
+    """A folder of its own in the shared one, removed at exit."""
+    root = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def drop() -> None:
+        if root.startswith(("file:", "/")):
+            shutil.rmtree("/" + root.removeprefix("file:").lstrip("/"), True)
+            return
+        with contextlib.suppress(Exception):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    atexit.register(drop)
+    return root
 
 
 def _is_folder(spark, path: str) -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,16 @@ def bgl(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     return out, counts
 
 
+def first_lines(lines: DataFrame, most: int, order: list[str] | None = None) -> DataFrame:
+    """At most so many lines of a source, in its order if one is named."""
+    return (lines.orderBy(*order) if order else lines).limit(most)
+
+
+def raw_counts(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Lines and bytes of raw text, a line break for each line."""
+    return lines.agg(F.count("*").alias("lines"), F.coalesce(F.sum(F.octet_length(F.coalesce(col, F.lit(""))).cast("long") + 1), F.lit(0)).alias("bytes"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as log lines; arrival_seq is event_id."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -100,18 +112,24 @@ def generated(spark: SparkSession, n: int, run: str, sources: int = 1, start_ns:
 
     Every random choice is a hash of (seed, source, seq), so reruns and retries agree. A late line is moved back in time."""
     ids = spark.range(0, n * sources, 1, parts) if parts else spark.range(n * sources)
-    seq, source = F.expr(f"id div {sources}"), F.col("id") % sources
-    draw = lambda k, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("source"), F.col("seq")), F.lit(m))
-    lines = ids.select(source.alias("source"), seq.alias("seq"))
+    lines = ids.select((F.col("id") % sources).alias("source"), F.expr(f"id div {sources}").alias("seq"))
+    late = F.when(_draw(seed, 5, 1_000_000) < int(late_fraction * 1_000_000), _draw(seed, 6, max(1, int(late_max_s * 1e9)))).otherwise(F.lit(0))
+    return _worded(lines, F.lit(start_ns) + (F.col("seq") * int(1e9 / rate)) - late, run, sources, seed)
+
+
+def _draw(seed: int, k: int, m: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("source"), F.col("seq")), F.lit(m))
+
+
+def _worded(lines: DataFrame, at: Column, run: str, sources: int, seed: int) -> DataFrame:
+    """Lines with source and seq as log lines at the given times."""
     total, level, text = 0, None, None
-    pick = draw(0, sum(w for _, _, w in TEMPLATES))
+    pick = _draw(seed, 0, sum(w for _, _, w in TEMPLATES))
     for lv, body, w in TEMPLATES:
         total += w
         level = (F.when if level is None else level.when)(pick < total, F.lit(lv))
         text = (F.when if text is None else text.when)(pick < total, F.lit(body))
-    body = F.replace(F.replace(F.replace(text, F.lit("{n}"), draw(1, 10_000).cast("string")), F.lit("{hex}"), F.lower(F.hex(draw(2, 1 << 24)))), F.lit("{node}"), F.concat(F.lit("R"), F.lpad(draw(3, 64).cast("string"), 2, "0"), F.lit("-M"), draw(4, 2).cast("string")))
-    late = F.when(draw(5, 1_000_000) < int(late_fraction * 1_000_000), draw(6, max(1, int(late_max_s * 1e9)))).otherwise(F.lit(0))
-    at = F.lit(start_ns) + (F.col("seq") * int(1e9 / rate)) - late
+    body = F.replace(F.replace(F.replace(text, F.lit("{n}"), _draw(seed, 1, 10_000).cast("string")), F.lit("{hex}"), F.lower(F.hex(_draw(seed, 2, 1 << 24)))), F.lit("{node}"), F.concat(F.lit("R"), F.lpad(_draw(seed, 3, 64).cast("string"), 2, "0"), F.lit("-M"), _draw(seed, 4, 2).cast("string")))
     mark = F.concat(F.lit(f" ~{run}."), F.col("source").cast("string"), F.lit("."), F.col("seq").cast("string"))
     return lines.select(at.alias("ts_ns"), F.concat(body, mark).alias("message"), F.create_map(F.lit("level"), level).alias("tags"), (F.col("seq") * sources + F.col("source")).alias("arrival_seq"))
 
@@ -123,3 +141,40 @@ def scheduled(elapsed_s: Column, rate: float, factor: float, every_s: float, for
     periods = F.floor(elapsed_s / every_s)
     inside = F.greatest(elapsed_s - periods * every_s - (every_s - for_s), F.lit(0.0))
     return F.floor(elapsed_s * rate + (periods * for_s + inside) * rate * (factor - 1))
+
+
+@dataclass(frozen=True)
+class Profile:
+    """A named load: lines a second over all sources, bursts of factor times that for the last for_s of every every_s, late lines."""
+
+    rate: float
+    sources: int = 1
+    factor: float = 1.0
+    every_s: float = 0.0
+    for_s: float = 0.0
+    late_fraction: float = 0.0
+    late_max_s: float = 0.0
+
+
+PROFILES = {"demo": Profile(20), "busy": Profile(1000, 2, 3, 60, 5, 0.02, 120), "peak": Profile(5000, 4, 3, 30, 5, 0.05, 300)}
+
+
+def paced(spark: SparkSession, profile: Profile, run: str, seed: int = 1) -> DataFrame:
+    """A stream of generated lines at a profile's pace, open loop: as many as are due by the clock, whatever the sink does.
+
+    A clock row stands for the lines that become due in its 100 ms; a stream that falls behind gets them all the same."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 10).load()
+    due = lambda at: scheduled(at, profile.rate, profile.factor, profile.every_s, profile.for_s).cast("long")
+    begin, end = due(F.col("value") / 10), due((F.col("value") + 1) / 10)
+    ids = F.explode(F.when(end > begin, F.sequence(begin, end - 1)).otherwise(F.array().cast("array<long>")))
+    lines = clock.select((F.unix_micros("timestamp") * 1000).alias("now_ns"), ids.alias("id"))
+    numbered = lines.select("now_ns", (F.col("id") % profile.sources).alias("source"), F.expr(f"id div {profile.sources}").alias("seq"))
+    late = _draw(seed, 5, 1_000_000) < int(profile.late_fraction * 1_000_000)
+    at = F.col("now_ns") - F.when(late, _draw(seed, 6, max(1, int(profile.late_max_s * 1e9)))).otherwise(F.lit(0))
+    return _worded(numbered, at, run, profile.sources, seed)
+
+
+def resent(lines: DataFrame, share: float, seed: int = 1) -> DataFrame:
+    """Lines as a client at least once sends them: a share of batches (of 500 lines of a source) lost its answer and comes again."""
+    again = F.pmod(F.xxhash64(F.lit(seed), F.expr("arrival_seq div 500")), F.lit(1_000_000)) < int(share * 1_000_000)
+    return lines.unionByName(lines.where(again))

@@ -22,12 +22,9 @@ def rows(df, cols):
     return sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", [n for n in plans.QUERIES if n != "compaction_pick"])
+@pytest.mark.parametrize("name", plans.QUERIES)
 def test_query(spark, db, name):
     got, want = plans.QUERIES[name](spark, SF).toPandas(), db.sql(plans.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got, sorted(got.columns)) == rows(want, sorted(want.columns))
 
-
-def test_pick(spark):
-    assert plans.compaction_pick(spark, SF).columns == ["segment_no", "size_bytes"]
