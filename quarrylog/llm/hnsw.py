@@ -2,8 +2,10 @@
 
 Equal vectors are indexed once with their smallest ids (one more than the neighbours wanted, which is all that ties by id
 can need), so a common vector neither fills a shard nor breaks a graph. Distinct vectors are dealt to shards by hash; a
-shard is one row of flat arrays in the shared folder. Query blocks visit every shard, distances of what they find are
-taken again in double precision on the original vectors, and shard results are merged by rank. Every row is indexed.
+shard is one file of flat arrays in the shared folder, and so is a block of queries. A task visits one shard with some
+blocks: both are mapped where they lie, so no graph or vector is copied through a shuffle, only pairs of numbers. Distances
+of what a query finds are taken again in double precision on the original vectors, and shard results are merged by rank,
+each visit sending its k nearest. Every row is indexed.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries neither;
 vectors of another length than the query's are no candidates; repeated rows (id and vector) count once; rows that share
@@ -19,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, map_file, write_bytes
 
-M, EF_BUILD, EF_SEARCH, SHARD_ROWS, QUERY_BLOCK = 16, 64, 96, 4096, 256
+M, EF_BUILD, EF_SEARCH, SHARD_ROWS, QUERY_BLOCK = 16, 64, 96, 4096, 1024
 
 
 class Graph:
@@ -158,9 +160,31 @@ def valid(col: str):
     return x.isNotNull() & (F.size(x) > 0) & ~odd & F.exists(x, lambda v: v != 0)
 
 
+def write_arrays(uri: str, arrays: list[np.ndarray]) -> None:
+    """Arrays one after the other, after a table of their kinds, lengths and widths (0: flat)."""
+    kinds = {np.dtype(np.float64): 0, np.dtype(np.int64): 1, np.dtype(np.int32): 2}
+    head = np.array([len(arrays), *(x for a in arrays for x in (kinds[a.dtype], len(a), a.shape[1] if a.ndim > 1 else 0))], np.int64)
+    # eight bytes are a multiple of every kind's
+    write_bytes(uri, b"".join([head.tobytes(), *(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)]))
+
+
+def map_arrays(uri: str) -> list[np.ndarray]:
+    data = map_file(uri)
+    n = int(data[:8].view(np.int64)[0])
+    head, at, out = data[8 : 8 + 24 * n].view(np.int64).reshape(n, 3), 8 + 24 * n, []
+    for kind, length, width in head.tolist():
+        dtype = np.dtype((np.float64, np.int64, np.int32)[kind])
+        size = dtype.itemsize * length * max(width, 1)
+        a = data[at : at + size].view(dtype)
+        out.append(a.reshape(length, width) if width else a)
+        at += size + -size % 8
+    return out
+
+
 def neighbours(vectors: DataFrame, is_query, k: int = 10, ef: int = EF_SEARCH) -> DataFrame:
     """vectors: vec_id, embedding. query_id, rank, vec_id and score (Euclidean distance) of the k nearest of each query row."""
     spark, ws = vectors.sparkSession, Workspace(vectors.sparkSession, "hnsw")
+    root = ws.path("files")
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(valid("embedding") & F.col("vec_id").isNotNull())
     rows = rows.withColumn("h", F.xxhash64("embedding"))
     some = F.row_number().over(Window.partitionBy("h").orderBy("vec_id"))
@@ -175,39 +199,44 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, ef: int = EF_SEARCH) -
         ids = [x.tolist() for x in t.column("ids").to_numpy()]
         ids = [ids[i] for i in order]
         # the graph lives near the origin of its shard: the mean is taken off, so float32 keeps its digits
-        mean = v.mean(0)
-        g = build((v - mean).astype(np.float32))
-        return pa.table({
-            "shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "dim": pa.array([v.shape[1]], pa.int32()), "entry": pa.array([g.entry], pa.int32()),
-            "vectors": [v.tobytes()], "ids": [[i for x in ids for i in x]], "first": [np.cumsum([0, *map(len, ids)]).tolist()],
-            "nodes": [[x.tobytes() for x, _ in g.levels]], "links": [[x.tobytes() for _, x in g.levels]],
-        })
+        g = build((v - v.mean(0)).astype(np.float32))
+        shard, dim = t.column("shard")[0].as_py(), v.shape[1]
+        levels = [x for nodes, links in g.levels for x in (nodes, links)]
+        write_arrays(f"{root}/graph-{shard}-{dim}", [v, np.array([i for x in ids for i in x], np.int64), np.cumsum([0, *map(len, ids)]), np.array([g.entry], np.int64), *levels])
+        return pa.table({"shard": pa.array([shard], pa.int32()), "dim": pa.array([dim], pa.int32())})
 
     dealt = distinct.withColumns({"shard": F.pmod("h", F.lit(shards)).cast("int"), "dim": F.size("embedding")})
-    graphs = ws.cut(dealt.groupBy("shard", "dim").applyInArrow(index, "shard int, dim int, entry int, vectors binary, ids array<long>, first array<long>, nodes array<binary>, links array<binary>"), "graphs")
+    graphs = ws.cut(dealt.groupBy("shard", "dim").applyInArrow(index, "shard int, dim int"), "graphs")
 
     queries = rows.where(is_query).dropDuplicates(["h", "vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim"))
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-    packed = queries.groupBy("block", "dim").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
-    visits = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["shard", "dim"]).select("q", "dim", "entry", "vectors", "ids", "first", "nodes", "links")
+
+    def gather(t: pa.Table) -> pa.Table:
+        block, dim = t.column("block")[0].as_py(), t.column("dim")[0].as_py()
+        write_arrays(f"{root}/queries-{block}-{dim}", [np.stack(t.column("embedding").to_numpy()), t.column("query_id").to_numpy()])
+        return pa.table({"block": pa.array([block], pa.int64()), "dim": pa.array([dim], pa.int32())})
+
+    dealt_queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    blocks = ws.cut(dealt_queries.groupBy("block", "dim").applyInArrow(gather, "block long, dim int"), "blocks")
+    # a pair of numbers for each visit; blocks of a shard come one after the other, so its file is mapped once
+    visits = blocks.join(graphs, "dim").repartition(max(1, min(graphs.count() * n_blocks, 20_000)), "shard", "block").sortWithinPartitions("shard", "dim")
 
     def visit(batches):
+        held, g = None, None
         for rb in batches:
             for r in rb.to_pylist():
-                v = np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"])
-                mean = v.mean(0)
-                nodes = [np.frombuffer(x, np.int32) for x in r["nodes"]]
-                links = [np.frombuffer(x, np.int32).reshape(len(n), -1) for n, x in zip(nodes, r["links"], strict=True)]
-                g = Graph((v - mean).astype(np.float32), r["entry"], list(zip(nodes, links, strict=True)))
-                ids, first = np.array(r["ids"], np.int64), np.array(r["first"], np.int64)
+                if held != (r["shard"], r["dim"]):
+                    held = r["shard"], r["dim"]
+                    v, ids, first, entry, *levels = map_arrays(f"{root}/graph-{r['shard']}-{r['dim']}")
+                    mean = v.mean(0)
+                    g = Graph((v - mean).astype(np.float32), int(entry[0]), list(zip(levels[::2], levels[1::2], strict=True)))
+                wanted, names = map_arrays(f"{root}/queries-{r['block']}-{r['dim']}")
                 out = []
-                for x in r["q"]:
-                    q = np.array(x["embedding"])
+                for q, name in zip(wanted, names.tolist(), strict=True):
                     found = np.array(g.nearest((q - mean).astype(np.float32), max(ef, k + 1)), np.int64)
                     d = np.sqrt(((v[found] - q) ** 2).sum(1))
-                    one = [(s, i) for s, j in zip(d.tolist(), found.tolist(), strict=True) for i in ids[first[j] : first[j + 1]].tolist() if i != x["query_id"]]
-                    out += [(x["query_id"], i, s) for s, i in heapq.nsmallest(k, one)]
+                    one = [(s, i) for s, j in zip(d.tolist(), found.tolist(), strict=True) for i in ids[first[j] : first[j + 1]].tolist() if i != name]
+                    out += [(name, i, s) for s, i in heapq.nsmallest(k, one)]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
 
     found = visits.mapInArrow(visit, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
