@@ -3,8 +3,9 @@
 The trees are trained on the driver from a bounded sample of labelled rows (SAMPLE_ROWS), with monotonic
 constraints on chosen features, and flattened into numpy node arrays that score blocks of documents at once.
 
-Defined cases: a null or empty text has no words and fails the base rules; repeated rows are judged alike; labels
-with a null doc_id or quality aren't learnt from; without labels of both classes the method keeps all that the
+Defined cases: a null or empty text has no words and fails the base rules; repeated rows are judged alike; of rows with
+one doc_id and different texts the text of the smallest hash is learnt from; any type of doc_id will do; labels with a null
+doc_id or quality aren't learnt from; without labels of both classes the method keeps all that the
 base rules keep; extra columns are ignored; a null doc_id stays null.
 """
 
@@ -191,18 +192,18 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone=tuple(m for _, m in FEATURE
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees | None:
     """Learn from a bounded sample of labelled rows; only their statistics, never their texts, reach the driver."""
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("_h", F.xxhash64(F.lit(7), "doc_id")).orderBy("_h", "doc_id").limit(sample_rows).select("doc_id", "quality")
-    rows = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id").alias("k"), "text", "quality", F.xxhash64("text").alias("t"))
 
     def stats(batches):
         for rb in batches:
             for b in blocks(rb.column(1)):
                 base, x = statistics(b)
-                yield pa.RecordBatch.from_arrays([rb.column(0)[b.rows], rb.column(2)[b.rows].cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64())), pa.array(base[:, 0])], ["doc_id", "quality", "x", "n"])
+                yield pa.RecordBatch.from_arrays([rb.column(0)[b.rows], rb.column(2)[b.rows].cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64())), rb.column(3)[b.rows]], ["k", "quality", "x", "t"])
 
-    found = rows.mapInArrow(stats, "doc_id long, quality int, x array<double>, n long").dropDuplicates(["doc_id"]).toArrow()
+    found = rows.mapInArrow(stats, "k long, quality int, x array<double>, t long").groupBy("k").agg(F.first("quality").alias("quality"), F.min_by("x", "t").alias("x")).toArrow()
     if not found.num_rows:
         return None
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    order = np.argsort(found.column("k").to_numpy(), kind="stable")
     x = np.stack(found.column("x").to_numpy())[order]
     bad = 1.0 - np.clip(found.column("quality").to_numpy()[order], 0, 1)
     if bad.min() == bad.max():
