@@ -4,10 +4,12 @@ Words have features of their own and of their first PREFIXES bytes, so inflected
 A document is toxic if any of its sentences is: P = 1 - prod(1 - p_j), p_j the logistic score of sentence j over its words.
 The gradient of the document's log-likelihood reaches a sentence in proportion to its part in P, so the sentences that
 explain a label learn it. The words' weights then locate the offending sentences. The model is fitted on the driver from
-a bounded sample of labelled documents (SAMPLE_ROWS); every document is scored over its whole text.
+a bounded sample of labelled documents (SAMPLE_ROWS): features are counted and chosen in Spark, and of the documents only
+where the chosen ones occur reaches the driver. Every document is scored over its whole text.
 
-Defined cases: a null or empty text has no sentence and scores 0; repeated rows score alike; labels with a null doc_id or a
-null mark are left out; without labels of both kinds every document gets the share of marked ones (0 if none is labelled).
+Defined cases: a null or empty text has no sentence and scores 0; repeated rows score alike; of rows with one doc_id and
+different texts the text of the smallest hash is learnt from; labels with a null doc_id or a null mark are left out; any
+type of doc_id will do; without labels of both kinds every document gets the share of marked ones (0 if none is labelled).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, crc_mod, doc_of, prefix_sums, span_hashes
+from .common import Block, Workspace, blocks, crc_mod, doc_of, prefix_sums, span_hashes
 
 #: At most so many labelled documents of either mark are learnt from, those of the smallest hash; a bound of the training
 #: only. The loss weighs them by how many they stand for, so scores stay probabilities.
@@ -61,48 +63,51 @@ def sentences(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return h, starts, ends, at, np.searchsorted(at, first)
 
 
-def associated(tokens: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The features whose documents are marked beyond chance."""
-    own = [np.unique(t) for t in tokens]
-    seen, at = np.unique(np.concatenate(own), return_inverse=True)
-    marked = np.repeat(y == 1, [len(x) for x in own])
-    a, n = np.bincount(at[marked], minlength=len(seen)), np.bincount(at, minlength=len(seen))
-    A, N = (y == 1).sum(), len(y)
+def associated(seen: DataFrame, marked: int, total: int) -> DataFrame:
+    """Of features (f) with the number of documents that have them (n) and of marked ones among these (a): those whose documents
+    are marked beyond chance, by the log-likelihood ratio."""
 
     def ll(k, m):
-        p = np.clip(k / np.maximum(m, 1), 1e-9, 1 - 1e-9)
-        return k * np.log(p) + (m - k) * np.log(1 - p)
+        p = F.least(F.greatest(k / F.greatest(m, F.lit(1.0)), F.lit(1e-9)), F.lit(1 - 1e-9))
+        return k * F.log(p) + (m - k) * F.log(1 - p)
 
+    A, N, a, n = F.lit(float(marked)), F.lit(float(total)), F.col("a").cast("double"), F.col("n").cast("double")
     ratio = 2 * (ll(a, n) + ll(A - a, N - n) - ll(n * A / N, n) - ll((N - n) * A / N, N - n))
-    return seen[(a * N > n * A) & (ratio >= MIN_RATIO) & (seen != 0)]
+    return seen.where((F.col("f") != 0) & (a * N > n * A) & (ratio >= MIN_RATIO)).select("f")
 
 
-def fit(tokens: list[np.ndarray], cuts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 250, rate: float = 0.15, l2: float = 2e-5) -> Model:
-    """tokens: each document's feature hashes, a row per word; cuts: its sentences' first words. Adam on the weighted mean log-loss."""
+@dataclass
+class Bags:
+    """Labelled documents as bags of sentences: of each occurrence of a chosen feature its place among them and its sentence;
+    of each sentence its document; of each document its mark and its weight."""
+
+    at: np.ndarray
+    sentence: np.ndarray
+    doc: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray
+
+    def loss(self, w: np.ndarray, bias: float, l2: float) -> tuple[float, np.ndarray, float]:
+        """The weighted mean log-loss of the noisy-or, half l2 times the weights' squares, and its gradient by weights and bias."""
+        s = np.clip(bias + np.bincount(self.sentence, w[self.at], len(self.doc)), -30, 30)
+        p = 1 / (1 + np.exp(-s))
+        none = np.bincount(self.doc, -np.logaddexp(0, s), len(self.y))  # log(1 - P)
+        P = np.maximum(-np.expm1(none), 1e-12)
+        share = self.weight / self.weight.sum()
+        value = float((share * np.where(self.y == 1, -np.log(P), -none)).sum() + l2 / 2 * (w * w).sum())
+        g = p * (share * np.where(self.y == 1, -(1 - P) / P, 1.0))[self.doc]
+        return value, np.bincount(self.at, g[self.sentence], len(w)) + l2 * w, float(g.sum())
+
+
+def fit(words: np.ndarray, bags: Bags, steps: int = 250, rate: float = 0.15, l2: float = 2e-5) -> Model:
+    """Adam on the loss of the bags. words: the chosen features, ascending."""
+    y = bags.y
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0, float(y.mean()) if len(y) else 0.0)
-    words = associated(tokens, y, weight)
-    size = np.array([len(c) for c in cuts])
-    doc_of_sentence = np.repeat(np.arange(len(y)), size)
-    # only occurrences of these features are kept, document by document, so memory follows them and not the texts
-    found_at, found_in = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for t, c, o in zip(tokens, cuts, np.cumsum(size) - size, strict=True):
-        flat = t.ravel()
-        k = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
-        ok = np.flatnonzero(words[k] == flat) if len(words) else np.zeros(0, np.int64)
-        found_at.append(k[ok].astype(np.int32))
-        found_in.append((o + np.searchsorted(c, ok // t.shape[1], "right") - 1).astype(np.int32))
-    at, sentence = np.concatenate(found_at), np.concatenate(found_in)
-    w, bias, n = np.zeros(len(words)), -5.0, len(y)
-    weight = weight / weight.sum()
+    w, bias = np.zeros(len(words)), -5.0
     m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     for t in range(1, steps + 1):
-        s = np.clip(bias + np.bincount(sentence, w[at], len(doc_of_sentence)), -30, 30)
-        p = 1 / (1 + np.exp(-s))
-        none = np.bincount(doc_of_sentence, -np.logaddexp(0, s), n)  # log(1 - P)
-        P = np.maximum(-np.expm1(none), 1e-12)
-        g = p * (weight * np.where(y == 1, -(1 - P) / P, 1.0))[doc_of_sentence]
-        gw, gb = np.bincount(at, g[sentence], len(w)) + l2 * w, g.sum()
+        _, gw, gb = bags.loss(w, bias, l2)
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, c = 1 - 0.9**t, 1 - 0.99**t
@@ -113,28 +118,52 @@ def fit(tokens: list[np.ndarray], cuts: list[np.ndarray], y: np.ndarray, weight:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """docs: doc_id and text of the documents that may be learnt from; labels: doc_id and toxic."""
+    ws = Workspace(docs.sparkSession, "toxicity")
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.least(F.max("toxic"), F.lit(1)).alias("toxic"))
     total = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = lambda m: marks.where(m).withColumn("_h", F.xxhash64(F.lit(3), "doc_id")).orderBy("_h", "doc_id").limit(sample_rows).select("doc_id", "toxic")
-    marked = some(F.col("toxic") == 1).union(some(F.col("toxic") != 1))
+    marked = some(F.col("toxic") == 1).union(some(F.col("toxic") != 1))  # at most 2 x sample_rows, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    rows = ws.cut(rows, "sample").select("text", F.greatest("toxic", F.lit(0)).alias("toxic"), F.xxhash64("doc_id").alias("k"))
+    count = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n = np.array([count.get(k, 0) for k in (0, 1)])
+    if not n.all():
+        y = np.repeat(np.arange(2), n)
+        return fit(np.zeros(0, np.uint32), Bags(y[:0], y[:0], y[:0], y, np.ones(len(y))))
+
+    def features(batches):
+        for rb in batches:
+            for b in blocks(rb.column(0), lower=True):
+                h, _, _, at, first = sentences(b)
+                doc = np.repeat(doc_of(np.append(at, len(h))[first]), h.shape[1])
+                own = np.unique((doc.astype(np.uint64) << np.uint64(32)) | h.ravel())
+                mark = rb.column(1)[b.rows].to_numpy()[(own >> np.uint64(32)).astype(np.int64)]
+                f, inv = np.unique((own & np.uint64(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.bincount(inv, minlength=len(f))), pa.array(np.bincount(inv, mark, len(f)).astype(np.int64))], ["f", "n", "a"])
 
-    def run(batches):
+    seen = rows.select("text", "toxic").mapInArrow(features, "f long, n long, a long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    words = np.sort(associated(seen, int(n[1]), int(n.sum())).toArrow().column("f").to_numpy()).astype(np.uint32)
+
+    def occurrences(batches):
         for rb in batches:
-            for b in blocks(rb.column(1), lower=True):
+            for b in blocks(rb.column(0), lower=True):
                 h, _, _, at, first = sentences(b)
-                word = np.append(at, len(h))[first]
-                lists = lambda values, offs, kind: pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values, kind))
-                own = at - word[doc_of(first)]
-                yield pa.RecordBatch.from_arrays([rb.column(0)[b.rows], rb.column(2)[b.rows].cast(pa.int32()), lists(h.view(np.int32).ravel(), word * h.shape[1], pa.int32()), lists(own, first, pa.int64())], ["doc_id", "toxic", "h", "cut"])
-
-    t = rows.mapInArrow(run, "doc_id long, toxic int, h array<int>, cut array<long>").dropDuplicates(["doc_id"]).toArrow()
-    order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
-    h, cut = t.column("h").to_numpy(), t.column("cut").to_numpy()
-    y = np.clip(t.column("toxic").to_numpy()[order], 0, 1)
-    n = np.bincount(y, minlength=2)
-    weight = np.array([sum(v for k, v in total.items() if k != 1), total.get(1, 0)]) / np.maximum(n, 1)
-    return fit([h[i].view(np.uint32).reshape(-1, 1 + len(PREFIXES)) for i in order], [cut[i] for i in order], y, weight[y])
+                flat = h.ravel()
+                k = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
+                ok = np.flatnonzero(words[k] == flat) if len(words) else np.zeros(0, np.int64)
+                sentence = np.searchsorted(at, ok // h.shape[1], "right") - 1
+                doc = doc_of(first)[sentence]
+                offs = pa.array(np.searchsorted(doc, np.arange(b.n + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offs, pa.array(x.astype(np.int32))) for x in (k[ok], sentence - first[doc])]
+                yield pa.RecordBatch.from_arrays([rb.column(2)[b.rows], rb.column(1)[b.rows], pa.array(np.diff(first).astype(np.int32)), *lists], ["k", "toxic", "sentences", "at", "of"])
+
+    t = rows.mapInArrow(occurrences, "k long, toxic int, sentences int, at array<int>, of array<int>").orderBy("k").toArrow()
+    size, y = t.column("sentences").to_numpy(), t.column("toxic").to_numpy()
+    begins, each = np.cumsum(size) - size, [np.asarray(x) for x in t.column("of").to_numpy()]
+    flat = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+    stands_for = np.array([sum(v for k, v in total.items() if k != 1), total.get(1, 0)]) / n
+    return fit(words, Bags(flat(t.column("at").to_numpy()), flat([x + o for x, o in zip(each, begins, strict=True)]), np.repeat(np.arange(len(y)), size), y, stands_for[y]))
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:

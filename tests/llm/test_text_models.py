@@ -1,13 +1,16 @@
 """Language-model scoring, toxicity and quality rules."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from helpers import DOC, odd, prose, words
 
 from quarrylog.llm import ngram, quality, toxicity
+from quarrylog.llm.common import blocks
 
 
 def kn(train):
@@ -96,6 +99,57 @@ def test_toxicity_finds_documents_and_sentences(spark):
     assert sum(any(s.start == spot[r.doc_id] for s in r.offending) for r in hits) >= 0.95 * len(hits)
 
 
+def feature(t):
+    """The hashes of a word and of its prefixes."""
+    (b,) = blocks(pa.array([t]), lower=True)
+    return toxicity.sentences(b)[0][0].tolist()
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    signs = [". ", "! ", "? ", "\n", " ", " ", ", ", "... ", "!?", ""]
+    texts = ["".join(f"{w}{rng.choice(signs)}" for w in prose(rng, int(rng.integers(0, 40)), 60).split()) for _ in range(80)] + [None, "", "...", "x" * 30_000, "w1. " * 5000, "É w2! ÉÉ w3"]
+    names = [f"w{i}" for i in range(60)]
+    weights = {h: float(v) for w, v in zip(names, rng.normal(size=60), strict=True) for h in feature(w)[:1]}
+    model = toxicity.Model(np.array(sorted(weights), np.uint32), np.array([weights[h] for h in sorted(weights)]), -2.5)
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOC)
+    out = {r.doc_id: r for r in toxicity.score(docs, model, threshold=0.3).collect()}
+    known = {w: weights[feature(w)[0]] for w in names}
+    for i, t in enumerate(texts):
+        none, offending = 1.0, 0
+        low = (t or "").translate({k: k + 32 for k in range(65, 91)})
+        for part in re.split(r"[.!?\n]", low):
+            own = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", part) if w]
+            if own:
+                p = 1 / (1 + math.exp(2.5 - sum(known.get(w, 0.0) for w in own)))
+                none, offending = none * (1 - p), offending + (p >= 0.3)
+        assert math.isclose(out[i].score, 1 - none, rel_tol=1e-9, abs_tol=1e-12), t
+        assert len(out[i].offending) == offending and out[i].predicted == (1 - none >= 0.3)
+
+
+def test_toxicity_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(3)
+    doc = np.sort(rng.integers(0, 6, 15))
+    bags = toxicity.Bags(rng.integers(0, 4, 40), rng.integers(0, 15, 40), doc, np.array([0, 1, 0, 1, 1, 0]), rng.random(6) + 0.5)
+    w, bias, e = rng.normal(size=4), -0.7, 1e-6
+    _, gw, gb = bags.loss(w, bias, 0.01)
+    slope = [(bags.loss(w + e * np.eye(4)[k], bias, 0.01)[0] - bags.loss(w - e * np.eye(4)[k], bias, 0.01)[0]) / (2 * e) for k in range(4)]
+    # a document without a sentence can't be explained; its loss is flat
+    assert np.allclose(gw, slope, atol=1e-6) and math.isclose(gb, (bags.loss(w, bias + e, 0.01)[0] - bags.loss(w, bias - e, 0.01)[0]) / (2 * e), abs_tol=1e-6)
+
+
+def test_training_does_not_hang_on_order_or_key_type(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"d{i}", prose(rng, 20) + (" vile" if i % 3 == 0 else ""), i) for i in range(200)]
+    rows += [(f"d{i}", f"another vile text {i}", i) for i in range(0, 200, 7)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, n int")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 2), int(i % 3 == 0)) for i in range(200)], "doc_id string, quality int, toxic int")
+    a, b = (toxicity.train(docs.orderBy(c).repartition(k), labels) for c, k in (("n", 2), ("text", 5)))
+    assert a.words.tolist() == b.words.tolist() and np.allclose(a.weights, b.weights) and len(a.words)
+    x, y = (quality.train(docs.orderBy(c).repartition(k), labels) for c, k in (("n", 2), ("text", 5)))
+    assert x.value.tolist() == y.value.tolist() and x.threshold.tolist() == y.threshold.tolist()
+
+
 def test_toxicity_odd_rows_and_labels(spark):
     labels = spark.createDataFrame([(None, 1, 1), (4, 1, None), (9, 0, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.train_and_score(odd(spark), labels).collect()
