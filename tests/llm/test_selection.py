@@ -22,9 +22,26 @@ def test_urls(spark):
     pages = spark.createDataFrame([(i, r[0], "x", "y") for i, r in enumerate(rows)], "page_id long, url string, host string, rule string")
     assert [tuple(r)[1:5] for r in urls.judge(pages).orderBy("page_id").collect()] == [r[1:] for r in rows]
     assert urls.judge(pages.limit(0)).count() == 0
+    assert urls.judge(pages.unionByName(pages)).count() == 2 * len(rows)
     assert urls.PatternIndex(urls.PATTERNS, {"utm": 5, "source": 9, "spam": 2}).by_token["spam"]
 
 
+def test_rule_tokens_lose_no_match(spark):
+    tokens = urls.required_tokens
+    assert tokens(r"://([^/?#]*[.-])?spam-") == ("spam",) and tokens(r"/wp-login\.php(\?|#|$)") == ("wp", "login", "php")
+    assert tokens(r"/[^/?#]*\.(exe|scr)([?#]|$)") == () and tokens(r"spam") == () and tokens(r"/spam[a-z]") == () and tokens(r"^spam$") == ("spam",)
+    assert tokens(r"-(ab)-c*-d?/") == ("ab",) and tokens(r"(x|-)spam-") == () and tokens(r"/a+/b/") == ("b",) and tokens(r"-(?:ab|cd)-e-") == ("e",)
+    # the index gives what running every rule on every url gives
+    rng = np.random.default_rng(4)
+    bits = ["http://", "www.", "casino", "spam", "farm", ".", "-", "/", "tag/free-download", "?", "&", "utm_source=spam", "redirect=https:", "wp-login.php", "a.exe", "x", "9", "#", "É", "goto=http%3A", "Poker"]
+    texts = ["".join(rng.choice(bits, int(rng.integers(1, 9)))) for _ in range(4000)]
+    counts = urls.token_counts(spark.createDataFrame([(t,) for t in texts], "url string"), urls.PATTERNS)
+    index, every = urls.PatternIndex(urls.PATTERNS, counts), [re.compile(p.regex) for p in urls.PATTERNS]
+    hits = [t for t in texts if any(r.search(t.lower()) for r in every)]
+    assert [t for t in texts if index.match(t)] == hits and 100 < len(hits) < 3900 and len(index.always) < 3
+    assert counts["spam"] == sum("spam" in urls.TOKEN.findall(t.lower()) for t in texts)
+
+
 def test_flow_is_cheapest():
     # one pattern in both sources, one in each: fresh tokens go before repeats
     flow = mixing.min_cost_flow([100, 50, 10], [[0, 1], [0], [1]], [60, 70], 2)
