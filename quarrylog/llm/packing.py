@@ -14,8 +14,8 @@ the histogram of lengths, which has at most `size` entries however large the cor
 The search is exact if it ends; it ends in any case after SEARCH_STEPS steps, with the incumbent. Packing is NP-hard, so
 some such limit is part of the method; whatever the outcome, every piece is placed.
 
-Pieces are then ranked within their length (by hash buckets of about BUCKET_ROWS pieces, so a length of a third of all
-pieces is spread) and take the slots of that rank.
+Pieces are then ranked within their length and take the slots of that rank. The n pieces of a length are ranked in about
+sqrt(n) hash buckets of about sqrt(n) pieces, so a length of a third of all pieces is spread, and its buckets are few.
 
 Defined cases: a null or empty text is the end id alone; the tokenizer's special tokens in a text are their ids, as it
 reads them itself; repeated rows are packed each; ties take any slot of their length in an order fixed by doc_id, piece and
@@ -25,6 +25,7 @@ content; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import math
 import os
 import unicodedata
 import zlib
@@ -45,8 +46,6 @@ CACHE_CHUNKS = 800_000
 _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _PUNCT = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
 _OPENS = _PUNCT & (np.arange(256) != ord("'"))
-#: Pieces of one length that are ranked together, about.
-BUCKET_ROWS = 50_000
 #: The letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else one from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
@@ -394,7 +393,7 @@ def pack(parts: DataFrame, size: int = SIZE, steps: int = SEARCH_STEPS) -> DataF
     """parts: a table with doc_id, piece, length, ids_crc32 beside any other columns (read three times); adds sequence_id and offset."""
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     place = slots(pack_lengths(counts, size, steps))
-    many = F.array(*(F.lit(-(-counts.get(k, 1) // BUCKET_ROWS)).cast("long") for k in range(max(counts, default=0) + 1)))
+    many = F.array(*(F.lit(math.isqrt(counts.get(k, 1) - 1) + 1).cast("long") for k in range(max(counts, default=0) + 1)))
     parts = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(many, F.col("length").cast("int") + 1)))
     by = parts.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
