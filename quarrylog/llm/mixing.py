@@ -6,7 +6,9 @@ and fresh tokens go first. A pattern's flow is then met with whole documents in
 the flow covers the pattern, and once more those before a cut. The cut is found from sizes summed by hash range; only
 the one range that holds it is walked document by document, and a document too large for what is left there is passed over.
 
-The driver holds one row per pattern, never one per document.
+The flow falls apart into components of patterns and sources that share any; each is solved on its own, so disjoint sources
+cost no more than their number. The driver holds one row per pattern, never one per document; that row's table is broadcast
+while it has at most BROADCAST_ROWS rows and joined by key beyond.
 
 Defined cases: a null text has size 0; null is a source of its own and comes last; documents of size 0 take nothing;
 repeated rows are documents of their own, equal ones being interchangeable; an empty table gives an empty result.
@@ -25,6 +27,8 @@ from .common import Workspace
 
 #: Documents in the hash range that is walked one by one, about.
 RANGE_ROWS = 4000
+#: Rows of a table of patterns or sources that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def n_words(text):
@@ -48,6 +52,37 @@ def shared_targets(sizes: Sequence[int], weights: Sequence[float], total: float,
     return out
 
 
+def flows_by_component(capacity: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[int], repeats: int) -> list[dict[int, int]]:
+    """min_cost_flow over each component of patterns that share sources; their union is a flow of least cost of the whole."""
+    root = list(range(len(quotas)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for own in members:
+        for q in own[1:]:
+            root[find(q)] = find(own[0])
+    parts: dict[int, list[int]] = {}
+    for p, own in enumerate(members):
+        if own:
+            parts.setdefault(find(own[0]), []).append(p)
+    out: list[dict[int, int]] = [{} for _ in members]
+    for part in parts.values():
+        sources = sorted({q for p in part for q in members[p]})
+        place = {q: i for i, q in enumerate(sources)}
+        flow = min_cost_flow([capacity[p] for p in part], [[place[q] for q in members[p]] for p in part], [quotas[q] for q in sources], repeats)
+        for p, f in zip(part, flow, strict=True):
+            out[p] = {sources[i]: v for i, v in f.items()}
+    return out
+
+
+def travelling(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def min_cost_flow(capacity: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[int], repeats: int) -> list[dict[int, int]]:
     """Route each pattern's capacity (repeats times, the k-th at cost k - 1) to the quotas of its sources: flow by pattern and source."""
     n, m = len(capacity), len(quotas)
@@ -111,7 +146,7 @@ def mix(docs: DataFrame, quotas: dict[str | None, int], repeats: int = 2, seed:
     patterns = docs.groupBy("_pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("_pattern").collect()
     if not patterns:
         return docs.drop("_pattern", "_h").withColumn("taken", F.lit(0).cast("long"))
-    flows = min_cost_flow([r["size"] for r in patterns], [sorted({place[x] for x in r["sources"] if x in place}) for r in patterns], [quotas[x] for x in names], repeats)
+    flows = flows_by_component([r["size"] for r in patterns], [sorted({place[x] for x in r["sources"] if x in place}) for r in patterns], [quotas[x] for x in names], repeats)
     bits = max(0, (sum(r["n"] for r in patterns) // RANGE_ROWS).bit_length())
     docs = docs.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long"))
     plan = []
@@ -125,7 +160,7 @@ def mix(docs: DataFrame, quotas: dict[str | None, int], repeats: int = 2, seed:
     upto = F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     cuts = {r["_pattern"]: (r["_b"], r["_rest"] - r["_upto"] + r["_size"]) for r in sums.withColumn("_upto", upto).join(plan_df, "_pattern").where("_rest > 0 and _upto >= _rest and _upto - _size < _rest").collect()}
     table = spark.createDataFrame([(p, full, *cuts.get(p, (-1, 0))) for p, full, _ in plan], "_pattern string, _full long, _cut long, _need long")
-    own = docs.join(F.broadcast(table), "_pattern")
+    own = docs.join(travelling(table, len(plan)), "_pattern")
     keep = [c for c in docs.columns if c not in ("_pattern", "_h", "_b")]
     clear = own.where("_b <> _cut").select(*keep, (F.col("size") * (F.col("_full") + F.when(F.col("_b") < F.col("_cut"), 1).otherwise(0))).alias("taken"))
     # in the range of the cut, whole documents by hash as long as they fit
@@ -167,7 +202,7 @@ def mix_by_source(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     sized = ws.cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), seeded_hash(seed).alias("_h")), "sized")
     mixed, info = mixed_by_source(sized, weights, share, most, seed)
     info_df = docs.sparkSession.createDataFrame(info, "_s string, source_size long, target double")
-    return mixed.join(F.broadcast(info_df), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.join(travelling(info_df, len(info)), F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def resampled(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1) -> DataFrame:

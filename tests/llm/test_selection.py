@@ -52,6 +52,49 @@ def test_flow_is_cheapest():
     assert mixing.shared_targets([10, 100], [3, 1], 80, 2) == [20.0, 60.0]
 
 
+def test_flow_against_brute_force():
+    """Over all whole-number flows of small cases: as much as can be routed, at the least repetition cost."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, m = int(rng.integers(1, 4)), int(rng.integers(1, 4))
+        members = [sorted(rng.choice(m, int(rng.integers(0, m + 1)), replace=False).tolist()) for _ in range(n)]
+        capacity, quotas = rng.integers(0, 3, n).tolist(), rng.integers(0, 4, m).tolist()
+        arcs = [(p, q) for p in range(n) for q in members[p]]
+        best = (0, 0)
+        for f in itertools.product(*(range(min(2 * capacity[p], quotas[q]) + 1) for p, q in arcs)):
+            out, into = [0] * n, [0] * m
+            for (p, q), v in zip(arcs, f, strict=True):
+                out[p] += v
+                into[q] += v
+            if all(v <= 2 * c for v, c in zip(out, capacity, strict=True)) and all(v <= c for v, c in zip(into, quotas, strict=True)):
+                best = min(best, (-sum(out), sum(max(0, v - c) for v, c in zip(out, capacity, strict=True))))
+        for solve in (mixing.min_cost_flow, mixing.flows_by_component):
+            flow = solve(capacity, members, quotas, 2)
+            out = [sum(f.values()) for f in flow]
+            assert (-sum(out), sum(max(0, v - c) for v, c in zip(out, capacity, strict=True))) == best
+            assert all(v <= 2 * c for v, c in zip(out, capacity, strict=True)) and all(sum(f.get(q, 0) for f in flow) <= quotas[q] for q in range(m))
+
+
+def test_mix_with_overlapping_sources(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(1, 30)), [["a"], ["b"], ["a", "b"], ["c"], []][i % 5]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>").selectExpr("*", "xxhash64(doc_id) as _h")
+    total = {}
+    for _, s, own in rows:
+        total[tuple(own)] = total.get(tuple(own), 0) + s
+    quotas = {"a": total["a",] + total["a", "b"] // 2, "b": total["b",] + total["a", "b"] // 4, "c": 2 * total["c",]}
+    for limit in (100_000, 1):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
+        taken = {r.doc_id: r.taken for r in mixing.mix(docs, quotas).collect()}
+        by = {}
+        for i, s, own in rows:
+            assert taken[i] in (0, s, 2 * s)
+            by[tuple(own)] = by.get(tuple(own), 0) + taken[i]
+        # fresh words go first, so what is in both serves both before anything is repeated
+        assert by["a",] <= total["a",] and by["b",] <= total["b",] and by["a", "b"] <= total["a", "b"] and by[()] == 0 and by["c",] == 2 * total["c",]
+        assert abs(by["a",] + by["b",] + by["a", "b"] - quotas["a"] - quotas["b"]) <= 60
+
+
 def test_mix_hits_targets(spark):
     rng = np.random.default_rng(3)
     rows = [(i, prose(rng, int(rng.integers(0, 60))), "en", "abcd"[min(3, i % 7)] if i % 11 else None, 0) for i in range(900)]
