@@ -171,10 +171,11 @@ class Model:
         """Word ids (-1: unknown) and training counts."""
         u, inv = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64)
-        bounds = np.searchsorted(range_shard(u, self.shards), np.arange(self.shards + 1))
-        for s in range(self.shards):
-            a, b = bounds[s], bounds[s + 1]
-            if a == b or self.starts[s] == self.starts[s + 1]:
+        shard = range_shard(u, self.shards).astype(np.int64)
+        bounds = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):  # the shards that have any of these words
+            s = int(shard[a])
+            if self.starts[s] == self.starts[s + 1]:
                 continue
             v = mapped(self.root, f"words-{s}", np.int64)
             n = len(v) // 2
@@ -205,17 +206,16 @@ class Model:
     def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
         shard = self.big_shard(keys).astype(np.int64)
         order = np.lexsort((keys, shard))
-        bounds = np.searchsorted(shard[order], np.arange(self.big_shards + 1))
+        bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
         out = np.zeros(len(keys), np.int64)
-        for s in range(self.big_shards):
-            own = order[bounds[s] : bounds[s + 1]]
-            if len(own):
-                v = mapped(self.root, f"bigrams-{s}", np.uint8)
-                n = len(v) // 12
-                if n:
-                    k = v[: 8 * n].view(U64)
-                    at = np.minimum(np.searchsorted(k, keys[own]), n - 1)
-                    out[own] = np.where(k[at] == keys[own], v[8 * n :].view(np.uint32)[at], 0)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own = order[a:b]
+            v = mapped(self.root, f"bigrams-{int(shard[own[0]])}", np.uint8)
+            n, width = v[:16].view(np.int64).tolist() if len(v) else (0, 4)
+            if n:
+                k, c = v[16 : 16 + 8 * n].view(U64), v[16 + 8 * n :].view(f"u{width}")
+                at = np.minimum(np.searchsorted(k, keys[own]), n - 1)
+                out[own] = np.where(k[at] == keys[own], c[at], 0)
         return out
 
     def log10(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -275,6 +275,8 @@ def train(docs: DataFrame, ws: Workspace) -> Model:
     for r in found:
         size[r.shard] = r.n
     starts = np.concatenate([[0], np.cumsum(size)])
+    if starts[-1] >= (1 << 32) - 1:
+        raise ValueError("a bigram's key has 32 bits for a word's id; there are more distinct words")
     tokens = sum(r.tokens for r in found)
     limit = tokens / (4 * big)
     hot = [int(starts[r.shard] + k) for r in found for k, c in zip(r.ranks, r.top, strict=True) if c > limit]
@@ -304,7 +306,8 @@ def train(docs: DataFrame, ws: Workspace) -> Model:
 
     def merge_bigrams(t: pa.Table) -> pa.Table:
         s, keys, counts = merged(t)
-        write_bytes(f"{root}/bigrams-{s}", keys.tobytes() + counts.astype(np.uint32).tobytes())
+        width = 4 if counts.max(initial=0) < 1 << 32 else 8
+        write_bytes(f"{root}/bigrams-{s}", np.array([len(keys), width], np.int64).tobytes() + keys.tobytes() + counts.astype(f"u{width}").tobytes())
         of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         ctx = (keys >> U64(32)).astype(np.int64)
         at = np.flatnonzero(np.diff(ctx, prepend=-1))
