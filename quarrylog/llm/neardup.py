@@ -7,7 +7,8 @@
    comes from a sketch of fixed size, and any order is right. Pairs posted by one class alone are skipped at once.
 3. Merging skips what is settled: first each posting list is held against its most central class only (the one in the
    fullest lists), and the links found are joined into components. Only lists that still hold several components are merged
-   fully, in blocks, and there the members of the largest component are held against the others but not among each other.
+   fully, by bands of set sizes and in blocks, and there the members of the largest component are held against the others
+   but not among each other.
 4. A pair is retained if it collides on matches(percent) coordinates or more (for Jaccard percent / 100, P(fewer) < 1e-8), in
    the first list that both are in; retained pairs are confirmed on the full shingle sets, which are fetched for these classes alone. What
    leaves a block is never its pairs but which members have any, and then edges that span its components.
@@ -244,21 +245,28 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct())
 
 
-def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """What is left to confirm: members (item, i, j, c, label, home, guest) of lists with several components that have a
-    retained pair there: a home row against a guest row of its block (i, j), of another component."""
+def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, sketch: np.ndarray, percent: int, ws: Workspace) -> DataFrame:
+    """What is left to confirm: members (item, band, i, j, c, label, home, guest) of lists with several components that have a
+    retained pair there: a home row against a guest row of its block (i, j), of another component.
+
+    A list falls into bands of set sizes, so wide that linked sets are in one band or in neighbouring ones: a row is at home in
+    its own band, and a guest, if it isn't of the list's largest component, in that and the two beside it. What remains of a
+    large band is dealt out in blocks."""
     rows = posted.select("item", "c").join(labels, "c", "left").select("item", "c", F.coalesce("label", "c").alias("label"))
     by = rows.groupBy("item", "label").agg(F.count("*").alias("n"))
-    lists = by.groupBy("item").agg(F.count("*").alias("labels"), F.sum("n").alias("rows"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most")).where("labels > 1")
-    lists = lists.select("item", "main", F.ceil(F.col("rows") / LIST_BLOCK).cast("int").alias("hs"), F.ceil((F.col("rows") - F.col("most")) / GUEST_BLOCK).cast("int").alias("gs"))
-    full = rows.join(lists, "item").join(classes.select("c", "n", "sig"), "c").withColumn("minor", F.col("label") != F.col("main"))
+    lists = by.groupBy("item").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    full = rows.join(lists.select("item", "main"), "item").join(classes.select("c", "n", "sig"), "c").select("item", "c", "label", "n", "sig", band.alias("band"), (F.col("label") != F.col("main")).alias("minor"))
+    full = ws.cut(full, "open")
+    visits = full.where("minor").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    homes = full.groupBy("item", "band").agg(F.count("*").alias("rows"))
+    guests = visits.groupBy("item", "band").agg(F.count("*").alias("guests"))
+    size = homes.join(guests, ["item", "band"]).select("item", "band", F.ceil(F.col("rows") / LIST_BLOCK).cast("int").alias("hs"), F.ceil(F.col("guests") / GUEST_BLOCK).cast("int").alias("gs"))
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    one = (F.col("hs") == 1) & (F.col("gs") == 1)
-    cols = ("item", "i", "j", "c", "label", "n", "sig", "home", "guest")
-    small = full.where(one).select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("home"), F.col("minor").alias("guest")).select(*cols)
-    home = full.where(~one).select("*", F.pmod(F.xxhash64("c"), F.col("hs")).cast("int").alias("i"), F.explode(span("gs")).alias("j"), F.lit(True).alias("home"), F.lit(False).alias("guest")).select(*cols)
-    guest = full.where(~one & F.col("minor")).select("*", F.pmod(F.xxhash64("c", F.lit(1)), F.col("gs")).cast("int").alias("j"), F.explode(span("hs")).alias("i"), F.lit(False).alias("home"), F.lit(True).alias("guest")).select(*cols)
-    dealt = small.unionByName(home).unionByName(guest).repartition("item", "i", "j").sortWithinPartitions("item", "i", "j", "c", "home")
+    cols = ("item", "band", "i", "j", "c", "label", "n", "sig", "home", "guest")
+    home = full.join(size, ["item", "band"]).select("*", F.pmod(F.xxhash64("c"), F.col("hs")).cast("int").alias("i"), F.explode(span("gs")).alias("j"), F.lit(True).alias("home"), F.lit(False).alias("guest")).select(*cols)
+    guest = visits.join(size, ["item", "band"]).select("*", F.pmod(F.xxhash64("c", F.lit(1)), F.col("gs")).cast("int").alias("j"), F.explode(span("hs")).alias("i"), F.lit(False).alias("home"), F.lit(True).alias("guest")).select(*cols)
+    dealt = home.unionByName(guest).repartition("item", "band", "i", "j").sortWithinPartitions("item", "band", "i", "j", "c", "home")
     level = np.minimum(sketch, (1 << 23) - 1).astype(U64) << U64(40)
     least = matches(percent)
 
@@ -288,9 +296,9 @@ def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, sketch:
         held = None
 
         def flush(t, upto):
-            item, bi, bj, c, label, n, home, guest = (t.column(k).to_numpy()[:upto] for k in ("item", "i", "j", "c", "label", "n", "home", "guest"))
+            item, band, bi, bj, c, label, n, home, guest = (t.column(k).to_numpy()[:upto] for k in ("item", "band", "i", "j", "c", "label", "n", "home", "guest"))
             sig = rows_of(t.column("sig").slice(0, upto), np.uint32, COORDS)
-            cut = np.flatnonzero((item[1:] != item[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
+            cut = np.flatnonzero((item[1:] != item[:-1]) | (band[1:] != band[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
             keep = np.zeros(upto, bool)
             for lo, hi in zip([0, *cut], [*cut, upto], strict=True):
                 keep[lo:hi] = retained(item[lo], c[lo:hi], label[lo:hi], n[lo:hi], sig[lo:hi], home[lo:hi], guest[lo:hi])
@@ -304,7 +312,7 @@ def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, sketch:
             t = pa.Table.from_batches([rb])
             t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
             same = np.ones(t.num_rows, bool)
-            for k in ("item", "i", "j"):
+            for k in ("item", "band", "i", "j"):
                 v = t.column(k).to_numpy()
                 same &= v == v[-1]
             whole = int(np.flatnonzero(~same).max(initial=-1)) + 1  # the last block may go on
@@ -314,7 +322,7 @@ def open_lists(posted: DataFrame, labels: DataFrame, classes: DataFrame, sketch:
         if held is not None and held.num_rows:
             yield from flush(held, held.num_rows)
 
-    return dealt.mapInArrow(run, "item long, i int, j int, c long, label long, home boolean, guest boolean")
+    return dealt.mapInArrow(run, "item long, band int, i int, j int, c long, label long, home boolean, guest boolean")
 
 
 def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -360,7 +368,7 @@ def spanning(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         at = np.flatnonzero(root != np.arange(len(c)))
         return pa.table({"a": c[root[at]], "b": c[at]})
 
-    return members.join(sets, "c").groupBy("item", "i", "j").applyInArrow(confirm, "a long, b long")
+    return members.join(sets, "c").groupBy("item", "band", "i", "j").applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace | None = None, percent: int = OP10_PERCENT) -> DataFrame:
@@ -394,7 +402,7 @@ def grouped(docs: DataFrame, ws: Workspace | None = None, percent: int = PERCENT
     stars = posted.join(leaders, "item").where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
     links = ws.cut(confirmed(ws.cut(colliding(stars, classes, percent), "stars"), classes, docs, ws, "star", percent), "links")
     labels = ws.cut(components(links, ws, "first"), "labels")
-    more = ws.cut(open_lists(posted, labels, classes, sketch, percent), "more")
+    more = ws.cut(open_lists(posted, labels, classes, sketch, percent, ws), "more")
     if not more.isEmpty():
         found = spanning(more, full_sets(more.select("c"), classes, docs, ws, "more-sets"), percent)
         labels = ws.cut(components(links.union(found), ws, "second"), "labels2")
