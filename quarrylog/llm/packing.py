@@ -368,9 +368,11 @@ def pack_lengths(counts: dict[int, int], size: int = SIZE, steps: int = SEARCH_S
     counts = {k: v for k, v in counts.items() if v > 0}
     if not counts:
         return []
-    plans = [greedy(counts, size, Pool.best_fit), greedy(counts, size, lambda p, room: p.filling(room - p.least_waste(room)))]
-    best = min(plans, key=lambda plan: sum(t for t, _ in plan))
-    return best if sum(t for t, _ in best) == lower_bound(counts, size) else improve(counts, size, best, steps)
+    used, bound = lambda plan: sum(t for t, _ in plan), lower_bound(counts, size)
+    best = greedy(counts, size, Pool.best_fit)
+    if used(best) > bound:
+        best = min(best, greedy(counts, size, lambda p, room: p.filling(room - p.least_waste(room))), key=used)
+    return best if used(best) == bound else improve(counts, size, best, steps)
 
 
 def slots(plan: list[tuple[int, list[int]]]) -> dict[str, np.ndarray]:
@@ -393,8 +395,9 @@ def pack(parts: DataFrame, size: int = SIZE, steps: int = SEARCH_STEPS) -> DataF
     """parts: a table with doc_id, piece, length, ids_crc32 beside any other columns (read three times); adds sequence_id and offset."""
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     place = slots(pack_lengths(counts, size, steps))
-    many = F.array(*(F.lit(math.isqrt(counts.get(k, 1) - 1) + 1).cast("long") for k in range(max(counts, default=0) + 1)))
-    parts = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(many, F.col("length").cast("int") + 1)))
+    # one literal that Spark folds, not a column for each length
+    many = F.split(F.lit(",".join(str(math.isqrt(counts.get(k, 1) - 1) + 1) for k in range(max(counts, default=0) + 1))), ",")
+    parts = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(many, F.col("length").cast("int") + 1).cast("long")))
     by = parts.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by.select("length", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
