@@ -194,7 +194,7 @@ class Pool:
     def __init__(self, counts: dict[int, int], size: int):
         self.size, self.x = size, sorted(k for k, v in counts.items() if v > 0)
         self.n = [counts[k] for k in self.x]
-        self._sums, self._valid = [1] * (len(self.x) + 1), 0
+        self._sums, self._valid, self._top = [1] * (len(self.x) + 1), 0, len(self.x) - 1
         self._mask = (1 << (size + 1)) - 1
 
     def sums(self, i: int) -> int:
@@ -210,25 +210,26 @@ class Pool:
         return self._sums[i]
 
     def take(self, i: int, times: int) -> None:
+        """Take a length so often, or give it back (times below 0)."""
         most = self.size // self.x[i]
         if min(self.n[i], most) != min(self.n[i] - times, most):
             self._valid = min(self._valid, i)
         self.n[i] -= times
+        if self.n[i]:
+            self._top = max(self._top, i)
 
     def largest(self) -> int:
-        while self.x and not self.n[-1]:
-            self.x.pop()
-            self.n.pop()
-            self._sums.pop()
-        self._valid = min(self._valid, len(self.x))
-        return len(self.x) - 1
+        """Index of the largest length left (-1: none is)."""
+        while self._top >= 0 and not self.n[self._top]:
+            self._top -= 1
+        return self._top
 
     def least_waste(self, room: int) -> int:
-        return room - ((self.sums(len(self.x)) & ((2 << room) - 1)).bit_length() - 1)
+        return room - ((self.sums(self._top + 1) & ((2 << room) - 1)).bit_length() - 1)
 
     def filling(self, total: int) -> list[int]:
         """Indices of lengths that sum to a reachable total, the largest first."""
-        out, i = [], bisect.bisect_right(self.x, total)
+        out, i = [], min(self._top + 1, bisect.bisect_right(self.x, total))
         while total:
             i -= 1
             for k in range(min(self.n[i], total // self.x[i]), 0, -1):
@@ -240,7 +241,7 @@ class Pool:
 
     def best_fit(self, room: int) -> list[int]:
         """Indices of the largest length that fits, again and again."""
-        out, i = [], bisect.bisect_right(self.x, room)
+        out, i = [], min(self._top + 1, bisect.bisect_right(self.x, room))
         while room and i:
             i = min(i, bisect.bisect_right(self.x, room)) - 1
             if i < 0:
@@ -270,10 +271,15 @@ def lower_bound(counts: dict[int, int], size: int) -> int:
     """Martello and Toth's L2: of all thresholds k, what lengths over size - k, over half, and from k on need at least."""
     if not counts:
         return 0
-    n, x = np.zeros(size + 2, np.int64), np.arange(size + 2)
+    n = np.zeros(size + 2, np.int64)
     for k, v in counts.items():
         n[k] = v
-    c, w = np.cumsum(n), np.cumsum(n * x)  # of lengths up to each
+    return bound_of(n, size)
+
+
+def bound_of(n: np.ndarray, size: int) -> int:
+    """lower_bound of the counts n, by length up to size + 1."""
+    c, w = np.cumsum(n), np.cumsum(n * np.arange(size + 2))  # of lengths up to each
     k, half = np.arange(size // 2 + 1), size // 2
     alone, over = c[size] - c[size - k], c[size - k] - c[half]
     room = over * size - (w[size - k] - w[half])
@@ -292,15 +298,23 @@ def dominated(own: list[int], waste: int, left: list[int]) -> bool:
 
 
 def improve(counts: dict[int, int], size: int, best: list[tuple[int, list[int]]], steps: int) -> list[tuple[int, list[int]]]:
-    """Bin completion branch-and-bound from an incumbent on."""
+    """Bin completion branch-and-bound from an incumbent on.
+
+    All levels of the search share one pool: a level takes its filling, and gives it back when it is tried again. So a level
+    holds its filling and no more, however many lengths there are."""
     used = lambda plan: sum(t for t, _ in plan)
-    total, bound, left = sum(k * v for k, v in counts.items()), lower_bound(counts, size), steps
+    total, bound, left, fewest = sum(k * v for k, v in counts.items()), lower_bound(counts, size), steps, used(best)
+    pool, held = Pool(counts, size), np.zeros(size + 2, np.int64)
+    index = {x: i for i, x in enumerate(pool.x)}
+    held[pool.x] = pool.n
+
+    def take(x: int, times: int) -> None:
+        pool.take(index[x], times)
+        held[x] -= times
 
-    def fillings(own: dict[int, int], x: int, after: tuple | None, most: int):
-        """(waste, members) of the undominated fillings around x, the least waste first, up to most; of the same x only those after the given one."""
+    def fillings(room: int, after: tuple | None, most: int):
+        """(waste, members) of the pool's undominated fillings of the room, the least waste first, up to most, only those after the given one."""
         nonlocal left
-        rest = own | {x: own[x] - 1}
-        pool, room = Pool(rest, size), size - x
 
         def go(i: int, total: int):
             nonlocal left
@@ -318,34 +332,40 @@ def improve(counts: dict[int, int], size: int, best: list[tuple[int, list[int]]]
                         for more in go(j, total - k * pool.x[j]):
                             yield [pool.x[j]] * k + more
 
+        top = pool.largest() + 1
         for waste in range(pool.least_waste(room), min(most, room) + 1):
-            if not pool.sums(len(pool.x)) >> (room - waste) & 1:
+            if not pool.sums(top) >> (room - waste) & 1:
                 continue
-            for members in go(len(pool.x), room - waste):
+            for members in go(top, room - waste):
                 if after is not None and (waste, [-m for m in members]) <= after:
                     continue
-                there = [y for y in pool.x if rest[y] > members.count(y)]
+                there = [y for y, n in zip(pool.x, pool.n, strict=True) if n and n > members.count(y)]
                 if not dominated(members, waste, there):
                     yield waste, members
 
-    def branches(own: dict[int, int], n: int, wasted: int, last):
-        """What may follow a state, each as (times, filling, state)."""
-        spare = (used(best) - 1) * size - total - wasted
-        if spare < 0 or n + lower_bound(own, size) >= used(best):
+    def branches(n: int, wasted: int, last):
+        """What may follow the pool's state, each as (times, filling) and what came of it; the pool is without them until the next one."""
+        spare = (fewest - 1) * size - total - wasted
+        if spare < 0 or n + bound_of(held, size) >= fewest:
             return
-        x = max(own)
-        for waste, members in fillings(own, x, last[1] if last and last[0] == x else None, spare):
+        x = pool.x[pool.largest()]
+        take(x, 1)
+        for waste, members in fillings(size - x, last[1] if last and last[0] == x else None, spare):
             need = {k: members.count(k) for k in set(members)}
             need[x] = need.get(x, 0) + 1
-            for times in range(min(own[k] // m for k, m in need.items()), 0, -1):
-                if wasted + times * waste > (used(best) - 1) * size - total:
+            for times in range(min((pool.n[index[k]] + (k == x)) // m for k, m in need.items()), 0, -1):
+                if wasted + times * waste > (fewest - 1) * size - total:
                     continue
-                rest = {k: v - times * need.get(k, 0) for k, v in own.items() if v > times * need.get(k, 0)}
-                yield (times, [x, *members]), rest, n + times, wasted + times * waste, (x, (waste, [-m for m in members]))
+                for k, m in need.items():
+                    take(k, times * m - (k == x))
+                yield (times, [x, *members]), n + times, wasted + times * waste, (x, (waste, [-m for m in members]))
+                for k, m in need.items():
+                    take(k, (k == x) - times * m)
+        take(x, -1)
 
     path: list[tuple[int, list[int]]] = []
-    stack = [branches(dict(counts), 0, 0, None)]
-    while stack and left > 0 and used(best) > bound:
+    stack = [branches(0, 0, None)]
+    while stack and left > 0 and fewest > bound:
         left -= 1
         step = next(stack[-1], None)
         if step is None:
@@ -353,13 +373,13 @@ def improve(counts: dict[int, int], size: int, best: list[tuple[int, list[int]]]
             if path:
                 path.pop()
             continue
-        own, rest, n, wasted, last = step
-        if not rest:
-            if n < used(best):
-                best = [*path, own]
+        own, n, wasted, last = step
+        if pool.largest() < 0:
+            if n < fewest:
+                best, fewest = [*path, own], n
             continue
         path.append(own)
-        stack.append(branches(rest, n, wasted, last))
+        stack.append(branches(n, wasted, last))
     return best
 
 

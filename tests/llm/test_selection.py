@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -151,6 +152,24 @@ def test_packing_is_the_best():
     assert packing.pack_lengths({}) == []
 
 
+def test_packing_search_holds_little():
+    """A search that goes deep over many lengths and misses the bound: each level holds its filling, not all lengths."""
+    counts = {}
+    for x in np.random.default_rng(1).integers(1000, 2500, 3000).tolist():
+        counts[x] = counts.get(x, 0) + 1
+    tracemalloc.start()
+    plan = packing.pack_lengths(counts, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    used = {}
+    for times, own in plan:
+        for x in own:
+            used[x] = used.get(x, 0) + times
+    assert used == counts and all(sum(own) <= 4096 for _, own in plan)
+    assert sum(times for times, _ in plan) > packing.lower_bound(counts, 4096)
+    assert peak < 60 << 20
+
+
 def test_pieces_and_places(spark):
     import public_tokenizers  # noqa: F401
     from tokenizers import Tokenizer
