@@ -72,7 +72,8 @@ def anchors(b: Block, length: int = LENGTH, gram: int = GRAM):
     a = a[first]
     doc = np.searchsorted(b.offs, lo, "right") - 1
     sl = mix(span_hashes(p, lo, hi) + (a - lo).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    return doc, a, lo, hi, g[a], sl
+    # an anchor's hash is the least of many, so most would fall into the lowest ranges; mixed again, they spread over all
+    return doc, a, lo, hi, mix(g[a]), sl
 
 
 STEP = 7  # characters of nine bits in a word

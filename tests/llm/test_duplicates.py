@@ -3,10 +3,13 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DOC, odd, prose, words
 
 from quarrylog.llm import neardup, substrings
+from quarrylog.llm.common import blocks
+from quarrylog.llm.ngram import range_shard
 
 
 def components(rows):
@@ -117,6 +120,14 @@ def test_repeated_strings_odd_rows(spark):
     assert substrings.remove(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_anchors_spread_over_shards():
+    rng = np.random.default_rng(9)
+    text = pa.array([prose(rng, 20_000, 20_000)])
+    h = np.concatenate([substrings.anchors(b)[4] for b in blocks(text)])
+    n = np.bincount(range_shard(h, 32).astype(np.int64), minlength=32)
+    assert len(h) > 1000 and n.max() < 2 * n.mean()
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(8)
     for _ in range(60):
