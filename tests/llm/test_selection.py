@@ -225,6 +225,39 @@ def test_neighbours(spark, monkeypatch):
     assert hnsw.neighbours(df.limit(0), df.vec_id % 100 == 0).count() == 0
 
 
+def test_neighbours_in_cells(spark, monkeypatch):
+    """The graph is over cells, a query visits some of them, a cell may have several files, and nobody gets fewer than there are."""
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 300)
+    nodes, build = [], hnsw.build
+    monkeypatch.setattr(hnsw, "build", lambda v, **a: nodes.append(len(v)) or build(v, **a))
+    rng = np.random.default_rng(12)
+    of = np.append(rng.integers(0, 60, 3000), np.full(800, 60))
+    x = (rng.normal(size=(61, 8))[of] * 5 + rng.normal(size=(3800, 8))).astype(np.float32).astype(float)
+    ids = np.arange(3800)
+    ids[3500:3700] = 0  # 200 vectors near to one another under the id of a query
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<float>")
+    got, hit = {}, 0
+    for r in hnsw.neighbours(df, df.vec_id % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert nodes == [61] and set(got) == set(ids[ids % 50 == 0].tolist())
+    for q, found in got.items():
+        assert [r for r, *_ in sorted(found)] == list(range(1, 11)) and q not in {i for _, i, _ in found}
+        d = np.sqrt(((x[:, None] - x[ids == q][None]) ** 2).sum(2)).min(1)
+        order = [ids[i] for i in np.argsort(d, kind="stable") if ids[i] != q][:10]
+        hit += len(set(order) & {i for _, i, _ in found})
+    assert hit >= 0.9 * 10 * len(got)
+
+
+def test_scan_of_all_cells_is_exact():
+    rng = np.random.default_rng(13)
+    x, asked = rng.normal(size=(5000, 6)) + 1e4, rng.normal(size=(40, 6)) + 1e4
+    files = [[x[a : a + 2500], x[a : a + 2500].mean(0), np.arange(5), np.arange(0, 2501, 500)] for a in (0, 2500)]
+    q, f, at = hnsw.scan(asked, np.tile(np.arange(6), (40, 1)), files, 12)
+    for i in range(40):
+        want = np.argsort(((x - asked[i]) ** 2).sum(1))[:12]
+        assert set(want.tolist()) == set((f[q == i] * 2500 + at[q == i]).tolist())
+
+
 RULES = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda d, v: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda d, v: all(int(x) <= 255 for x in v.split("."))),
