@@ -398,9 +398,10 @@ def bloom_no_false_negative(spark, d):
     terms = docs.select(F.expr("arrival_seq div 100").alias("segment_no"), F.explode(text.tokens(F.col("message"))).alias("term")).distinct()
 
     def probed(rows: pd.DataFrame) -> pd.DataFrame:
-        f = bloom.build(rows["term"])
-        denied = sum(not bloom.may_contain(f, t) for t in rows["term"])
-        passed = sum(bloom.may_contain(f, f"~absent{i}") for i in range(2000))
+        words = rows["term"].tolist()
+        f = bloom.build(words)
+        denied = int((~bloom.passed(f, words)).sum())
+        passed = int(bloom.passed(f, [f"~absent{i}" for i in range(2000)]).sum())
         return pd.DataFrame({"segment_no": [rows["segment_no"].iloc[0]], "terms": [len(rows)], "denied": [denied], "selective": [passed < 60]})
 
     return terms.groupBy("segment_no").applyInPandas(probed, "segment_no long, terms long, denied long, selective boolean")
