@@ -72,7 +72,7 @@ def write(spark: SparkSession, files: Files, lines: DataFrame, n: int = 1, now_n
             parts = -(-sum(k for g, k in sizes.items() if g not in large) // TASK_LINES)
             small = small.repartition(parts, "id") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else small.repartition("id")
             no = F.row_number().over(Window.partitionBy("id").orderBy("ts_ns", "arrival_seq")) - 1
-            _save(files, small.sortWithinPartitions("id", "ts_ns", "arrival_seq").withColumn("line_no", no))
+            _save(files, small.sortWithinPartitions("id", "ts_ns", "arrival_seq").withColumn("line_no", no), bool(group))
         if large:
             cell, starts = _cells(dealt.where(F.col("_g").isin(list(large))), large)
             parted = dealt.where(F.col("_g").isin(list(large))).withColumn("_c", cell).repartitionById(len(starts), "_c")
@@ -101,12 +101,14 @@ def write(spark: SparkSession, files: Files, lines: DataFrame, n: int = 1, now_n
     return rows, sorted(tags)
 
 
-def _save(files: Files, dealt: DataFrame) -> None:
+def _save(files: Files, dealt: DataFrame, many: bool = False) -> None:
     """Files of lines that have an id and a line_no. A task's files get their place when it ends: what counts is the manifest,
-    and a job that fails leaves only files that nothing lists."""
+    and a job that fails leaves only files that nothing lists. Many small ones in a local folder go without Hadoop's .crc files,
+    as it starts four processes (chmod) for each file with one; pages and segments have checksums of their own."""
+    raw = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"} if many and files.root.startswith(("file:", "/")) else {}
     dealt = dealt.withColumn("terms", line_terms(F.col("message"), F.col("tags")))
     out = dealt.select("ts_ns", "message", "tags", "terms", "arrival_seq", F.col("line_no").cast("int").alias("line_no"), F.col("id").alias("segment_id"), "id")
-    out.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("id").parquet(f"{files.root}/segments")
+    out.write.mode("append").options(**raw).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("id").parquet(f"{files.root}/segments")
 
 
 def _cells(lines: DataFrame, sizes: dict[int, int]) -> tuple[Column, list[int]]:

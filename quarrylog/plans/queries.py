@@ -19,7 +19,7 @@ from ..operators import stats
 from ..operators.compaction import pick_batch
 from ..operators.histogram import WIDTHS, axis, bucket_start, dense
 from ..operators.manifest import Segment
-from ..operators.search import BLOOM, TIME, hits, top
+from ..operators.search import BLOOM, SCANNED, TIME, hits, top
 from ..schema import STORED, Settings
 from ..sources import logs
 
@@ -191,9 +191,11 @@ def segment_outcomes(spark, d):
     has it: lost tells whether it did, by counting over the lines of those it held back."""
     e, no = events_store(spark, d)
     r = e.search("user17", {}, JAN5, JAN5 + 5 * DAY, 10_000)
-    back = [o.segment.storage_key for o in r.outcomes if o.outcome == BLOOM]
-    there = {x.segment_id for x in hits(seg.read(spark, e.manifest.files, back), "user17", {}).select("segment_id").distinct().collect()}
-    rows = [(no[o.segment.id], o.outcome != TIME, o.hits, o.segment.id in there) for o in r.outcomes]
+    # a reply's hits end at its limit: a segment's are counted over the lines of all in range
+    near = [o.segment.storage_key for o in r.outcomes if o.outcome != TIME]
+    inside = (F.col("ts_ns") >= JAN5) & (F.col("ts_ns") < JAN5 + 5 * DAY)
+    there = {x.segment_id: x.n for x in hits(seg.read(spark, e.manifest.files, near), "user17", {}).groupBy("segment_id").agg(F.count_if(inside).alias("n")).collect()}
+    rows = [(no[o.segment.id], o.outcome != TIME, there.get(o.segment.id, 0) if o.outcome == SCANNED else 0, o.outcome == BLOOM and o.segment.id in there) for o in r.outcomes]
     return spark.createDataFrame(rows, "segment_no long, in_range boolean, hits long, lost boolean")
 
 
